@@ -4,24 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder and read it back: later steps see the same rows and
-    partitions, do not repeat the work, and survive lost executors.
+def scratch_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder (``spark.checkpoint.dir``), which every executor can reach.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without one gets a
-    temporary folder.
+    Only a local session without one gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tabwright-"))
+    return context.getCheckpointDir()
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Write the frame to the checkpoint folder and read it back: later steps see the same rows and
+    partitions, do not repeat the work, and survive lost executors."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -221,7 +221,7 @@ def report(df: DataFrame, spec: Mapping, as_of=None) -> dict[str, DataFrame]:
              ("Note", note), ("Rows without a valid date (not in the trend)",
                               F.when(F.col("undated_rows") > 0, F.col("undated_rows"))))
         latest = out["Trend"].join(facts.select(F.col("latest_period").alias(C.PERIODS[period])), C.PERIODS[period])
-        line(latest, (f"{metric_name} in latest {period}", F.bround(col(metric_name).cast("double"), 2)),
+        line(latest, (f"{metric_name} in latest {period}", value_text(F.bround(col(metric_name).cast("double"), 2), T.DoubleType())),
              (f"Change vs previous {period}", F.concat(F.col("Change vs previous %").cast("string"), F.lit("%"))))
     category = s["category_column"]
     if category:
