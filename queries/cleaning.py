@@ -56,8 +56,7 @@ def _formula_summary(spark, folder):
 
 def _formula_rows(spark, folder):
     m = _checks(spark, folder).mismatches.where(F.col("check").isin("price", "price pct"))
-    return m.select("check", "row_in_file", "l_partkey", "value", F.round("expected", 2).alias("expected"),
-                    F.round("difference", 2).alias("difference"), F.round("difference_pct", 1).alias("difference_pct"))
+    return m.select("check", "row_in_file", "l_partkey", "value", "expected", "difference", "difference_pct")
 
 
 _PRICES = "FROM lineitem JOIN part ON l_partkey = p_partkey"
@@ -112,9 +111,9 @@ def _clean_summary(spark, folder):
 
 
 def _clean_orders(spark, folder):
-    """Dates by detection, prices by request; what cannot be read would be listed."""
+    """Dates and prices in mixed forms; what cannot be read would be listed."""
     o = orders_dirty(spark, folder).select("_row", "o_orderkey", "price_text", "date_text")
-    c = clean_table(o, {"to_number": ["price_text"]})
+    c = clean_table(o, {"to_number": ["price_text"], "to_date": ["date_text"]})
     return c.data.select("o_orderkey", F.col("price_text").alias("price"), F.col("date_text").cast("date").alias("day"))
 
 
@@ -141,7 +140,7 @@ def _merge(spark, folder):
         F.col("o_orderstatus").alias("status"))
     m = merge_rows(o, ["o_custkey"], {"total": "sum", "average": "mean", "least": "min", "most": "max", "last_order": "last",
                                       "orders": "count", "kinds": "join"})
-    return m.withColumn("total", F.round("total", 2)).withColumn("average", F.round("average", 4))
+    return m.withColumn("total", F.round("total", 2)).withColumn("average", F.round("average", 6))
 
 
 def _duplicates(spark, folder):
@@ -216,6 +215,18 @@ UNION ALL SELECT 'Text -> number', 'balance', count(*), '''' || (SELECT printf('
 UNION ALL SELECT 'Removed identical duplicate rows', '(whole row)', count(*),
   'rows 3, 5, 7, 9, 11, 13, 15, 17, 19, 21, 23, 25, 27, 29, 31 ...', 'removed' FROM d"""
 
+_ISSUES = f"""WITH {_D}, x AS (SELECT quantile_cont(b, 0.25) AS q1, quantile_cont(b, 0.75) AS q3 FROM d),
+    i AS (SELECT 'segment' AS column_name, 'Fix' AS level, 'marker' AS code, count(*) FILTER (WHERE k % 10 = 0) AS cells FROM d
+    UNION ALL SELECT 'segment', 'Check', 'empty', count(*) FILTER (WHERE k % 10 = 0) FROM d
+    UNION ALL SELECT 'segment', 'Fix', 'spaces', count(*) FILTER (WHERE k % 10 = 3) FROM d
+    UNION ALL SELECT 'segment', 'Fix', 'variants', count(*) FILTER (WHERE k % 10 <> 0) FROM d
+    UNION ALL SELECT 'balance', 'Fix', 'number_text', count(*) FROM d
+    UNION ALL SELECT 'balance', 'Check', 'outlier', count(*) FILTER (WHERE b < q1 - 3 * (q3 - q1) OR b > q3 + 3 * (q3 - q1))
+      FROM d, x
+    UNION ALL SELECT 'balance', 'Check', 'negative', CASE WHEN count(*) FILTER (WHERE b < 0) <= greatest(1, 0.05 * count(*))
+      THEN count(*) FILTER (WHERE b < 0) ELSE 0 END FROM d)
+    SELECT * FROM i WHERE cells > 0"""
+
 QUERIES = {
     "rule_required": (_required, """SELECT 'A' AS "table", c_custkey + 2 AS row_in_file, 'ref' AS "column", NULL::VARCHAR AS value,
         'Empty, but this column is required' AS problem FROM customer WHERE c_custkey % 13 = 0"""),
@@ -255,8 +266,8 @@ QUERIES = {
         FROM orders WHERE o_orderdate > DATE '{DAY}')"""),
     "formula_summary": (_formula_summary, _formula_summary_sql()),
     "formula_mismatches": (_formula_rows, f"""SELECT c AS "check", l_orderkey * 8 + l_linenumber + 2 AS row_in_file,
-        CAST(l_partkey AS VARCHAR) AS l_partkey, l_extendedprice AS value, round(e, 2) AS expected,
-        round(l_extendedprice - e, 2) AS difference, round((l_extendedprice - e) / e * 100, 1) AS difference_pct
+        CAST(l_partkey AS VARCHAR) AS l_partkey, l_extendedprice AS value, round_even(e, 4) AS expected,
+        round_even(l_extendedprice - e, 4) AS difference, round_even((l_extendedprice - e) / e * 100, 2) AS difference_pct
         FROM (SELECT *, l_quantity * p_retailprice AS e {_PRICES}), (VALUES ('price'), ('price pct')) AS v(c)
         WHERE CASE WHEN c = 'price' THEN abs(l_extendedprice - e) > 5 ELSE abs(l_extendedprice - e) > greatest(0.01, e / 2) END"""),
     "clean_table": (_clean_data, """SELECT c_custkey AS customer_no, c_name AS name, CASE WHEN c_custkey % 10 <> 0 THEN
@@ -283,23 +294,13 @@ QUERIES = {
     "drop_duplicates": (_dedup, """SELECT min(event_id) AS _row, user_id, event_type FROM events GROUP BY 2, 3"""),
     "merge_rows": (_merge, """WITH p AS (SELECT o_custkey, o_orderpriority AS p, min(o_orderkey) AS k FROM orders GROUP BY 1, 2),
         j AS (SELECT o_custkey, string_agg(p, ', ' ORDER BY k) AS kinds FROM p GROUP BY 1)
-        SELECT min(o_orderkey) AS _row, o_custkey, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS average,
+        SELECT min(o_orderkey) AS _row, o_custkey, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 6) AS average,
         min(o_totalprice) AS least, max(o_totalprice) AS most, min(o_orderkey) AS first_order, max(o_orderkey) AS last_order,
         count(o_orderkey) AS orders, any_value(kinds) AS kinds, arg_min(o_orderstatus, o_orderkey) AS status
         FROM orders JOIN j USING (o_custkey) GROUP BY o_custkey"""),
     "duplicate_rows": (_duplicates, _hidden_sql("rows")),
     "duplicate_counts": (_duplicate_counts, _hidden_sql("counts")),
-    "quality_issues": (_issues, f"""WITH {_D}, x AS (SELECT quantile_cont(b, 0.25) AS q1, quantile_cont(b, 0.75) AS q3 FROM d),
-        i AS (SELECT 'segment' AS column_name, 'Fix' AS level, 'marker' AS code, count(*) FILTER (WHERE k % 10 = 0) AS cells FROM d
-        UNION ALL SELECT 'segment', 'Check', 'empty', count(*) FILTER (WHERE k % 10 = 0) FROM d
-        UNION ALL SELECT 'segment', 'Fix', 'spaces', count(*) FILTER (WHERE k % 10 = 3) FROM d
-        UNION ALL SELECT 'segment', 'Fix', 'variants', count(*) FILTER (WHERE k % 10 <> 0) FROM d
-        UNION ALL SELECT 'balance', 'Fix', 'number_text', count(*) FROM d
-        UNION ALL SELECT 'balance', 'Check', 'outlier', count(*) FILTER (WHERE b < q1 - 3 * (q3 - q1) OR b > q3 + 3 * (q3 - q1))
-          FROM d, x
-        UNION ALL SELECT 'balance', 'Check', 'negative', CASE WHEN count(*) FILTER (WHERE b < 0) <= greatest(1, 0.05 * count(*))
-          THEN count(*) FILTER (WHERE b < 0) ELSE 0 END FROM d)
-        SELECT * FROM i WHERE cells > 0"""),
+    "quality_issues": (_issues, _ISSUES),
     "quality_columns": (_columns, """SELECT 'customer_no' AS column_name, 'number' AS type_found, count(*) AS filled,
           0::BIGINT AS empty, 0.0::DOUBLE AS empty_pct, count(DISTINCT c_custkey) AS n_distinct, '0 | 1 | 2' AS examples,
           min(c_custkey) || '.0' AS min, max(c_custkey) || '.0' AS max FROM customer
@@ -318,7 +319,11 @@ QUERIES = {
         UNION ALL SELECT 'nation', 'number', count(*), 0, 0, count(DISTINCT c_nationkey), (SELECT string_agg(n, ' | ' ORDER BY k)
           FROM (SELECT c_nationkey AS n, min(c_custkey) AS k FROM customer GROUP BY 1 ORDER BY 2 LIMIT 3)),
           min(c_nationkey) || '.0', max(c_nationkey) || '.0' FROM customer"""),
-    "quality_overview": (_overview, None),
+    "quality_overview": (_overview, f"""WITH q AS ({_ISSUES}) SELECT 'Rows' AS item, count(*) AS value FROM customer
+        UNION ALL SELECT 'Columns', 5 UNION ALL SELECT 'Empty cells', count(*) FROM customer WHERE c_custkey % 10 = 0
+        UNION ALL SELECT 'Identical duplicate rows', 0 UNION ALL SELECT 'Hidden duplicates (spaces/case)', 0
+        UNION ALL SELECT 'Problems to fix', count(*) FROM q WHERE level = 'Fix'
+        UNION ALL SELECT 'Things to check', count(*) FROM q WHERE level = 'Check'"""),
     "quality_text_dates": (_quality_orders, None),
     "quality_outliers": (_outliers, """WITH t AS (SELECT round(sum(l_extendedprice) ** 3 / 1e9, 2) AS c FROM lineitem
         GROUP BY l_orderkey), x AS (SELECT quantile_cont(c, 0.25) AS q1, quantile_cont(c, 0.75) AS q3 FROM t)

@@ -194,8 +194,9 @@ def _scores(spark, folder):
     return pairs.join(left, "id_a").join(right, "id_b").select("name", "mistyped", "score")
 
 
-_SCORES = f"""WITH a AS (SELECT DISTINCT p_name AS x FROM part),
-b AS (SELECT DISTINCT p_name[:p_partkey % len(p_name)] || p_name[p_partkey % len(p_name) + 2:] AS y FROM part),
+_ITEM = """CASE WHEN p_partkey % 7 = 0 THEN 'unlisted ' || p_type ELSE
+    p_name[:p_partkey % len(p_name)] || p_name[p_partkey % len(p_name) + 2:] END"""
+_SCORES = f"""WITH a AS (SELECT DISTINCT p_name AS x FROM part), b AS (SELECT DISTINCT {_ITEM} AS y FROM part),
 pairs AS (SELECT x, y FROM a, b), {_LCS} SELECT x AS name, y AS mistyped, score FROM scored WHERE score >= 80"""
 
 
@@ -205,7 +206,7 @@ def _typos(spark, folder):
     return out.select("value", "count", "similar_value", "similar_count", "similarity_pct")
 
 
-_TYPOS = f"""WITH n AS (SELECT p_name[:p_partkey % len(p_name)] || p_name[p_partkey % len(p_name) + 2:] AS v FROM part),
+_TYPOS = f"""WITH n AS (SELECT {_ITEM} AS v FROM part),
 g AS (SELECT trim(regexp_replace(v, '\\s+', ' ', 'g')) AS v, count(*) AS n FROM n GROUP BY 1),
 pairs AS (SELECT p.v AS x, q.v AS y FROM g p JOIN g q ON p.v < q.v WHERE len(p.v) >= 4 AND len(q.v) >= 4), {_LCS}
 SELECT CASE WHEN p.n >= q.n THEN x ELSE y END AS value, CASE WHEN p.n >= q.n THEN p.n ELSE q.n END AS count,
@@ -218,7 +219,7 @@ def _fuzzy(spark, folder, **options):
     """Parts against mistyped parts of the same brand and size, by name."""
     return fuzzy_compare(parts_named(spark, folder), parts_mistyped(spark, folder), ["p_name"], ["item"],
                          {"p_retailprice": "price"}, must_match={"p_brand": "p_brand", "p_size": "p_size"},
-                         closest_from=50, **options)
+                         **options)
 
 
 def _fuzzy_matches(spark, folder):
@@ -257,6 +258,38 @@ def _fuzzy_sets(spark, folder):
                          must_match={"p_size": "p_size"}).pairs
 
 
+# Greedy assignment in SQL, row by row: in every round take the pairs that come first for both of their rows.
+_FUZZY = f"""WITH RECURSIVE ra AS (SELECT p_partkey AS r, p_name AS name, lower(trim(p_name)) AS t, p_brand AS k1, p_size AS k2,
+    p_retailprice AS price FROM part),
+rb AS (SELECT p_partkey AS r, {_ITEM} AS name, trim(regexp_replace(lower({_ITEM}), '\\s+', ' ', 'g')) AS t, p_brand AS k1,
+    p_size AS k2, p_retailprice + CASE WHEN p_partkey % 5 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS price FROM part),
+texts AS (SELECT DISTINCT ra.t AS ta, rb.t AS tb FROM ra JOIN rb USING (k1, k2)),
+forms AS (SELECT ta, tb, array_to_string(list_sort(string_split(ta, ' ')), ' ') AS x,
+                 array_to_string(list_sort(string_split(tb, ' ')), ' ') AS y FROM texts
+    UNION ALL SELECT ta, tb, replace(ta, ' ', ''), replace(tb, ' ', '') FROM texts),
+pairs AS (SELECT DISTINCT x, y FROM forms), {_LCS},
+best AS (SELECT ta, tb, max(score) AS score FROM forms JOIN scored USING (x, y) GROUP BY 1, 2),
+near AS (SELECT ra.r AS a, rb.r AS b, score FROM ra JOIN rb USING (k1, k2) JOIN best ON ta = ra.t AND tb = rb.t),
+steps(a, b, score, picked) AS (SELECT a, b, score, false FROM near WHERE score >= 85
+    UNION ALL (WITH open AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS ka,
+                               row_number() OVER (PARTITION BY b ORDER BY score DESC, a) AS kb FROM steps WHERE NOT picked),
+               hit AS (SELECT a, b, score FROM open WHERE ka = 1 AND kb = 1)
+     SELECT a, b, score, true FROM hit UNION ALL SELECT a, b, score, false FROM open
+     WHERE a NOT IN (SELECT a FROM hit) AND b NOT IN (SELECT b FROM hit))),
+m AS (SELECT a, b, score FROM steps WHERE picked),
+j AS (SELECT m.*, ra.name AS na, rb.name AS nb, ra.price AS pa, rb.price AS pb FROM m JOIN ra ON ra.r = a JOIN rb ON rb.r = b)"""
+
+
+def _fuzzy_left_sql(side):
+    mine, theirs, cols = ("a", "b", "p_name, p_brand, p_size, p_retailprice") if side == "only_a" else ("b", "a", "item, p_brand, p_size, price")
+    names = "name AS p_name, k1 AS p_brand, k2 AS p_size, price AS p_retailprice" if side == "only_a" else (
+        "name AS item, k1 AS p_brand, k2 AS p_size, price")
+    return f"""{_FUZZY}, n AS (SELECT {mine} AS r, arg_max({theirs}, (score, -{theirs})) AS o, max(score) AS s FROM near GROUP BY 1)
+        SELECT r{mine}.r + 2 AS row_in_file, {names.replace('name', f'r{mine}.name').replace(f'p_r{mine}.name', 'p_name').replace('k1', f'r{mine}.k1').replace('k2', f'r{mine}.k2').replace('price', f'r{mine}.price').replace(f'p_retailr{mine}.price', 'p_retailprice')},
+        o.name AS closest, s AS closest_pct FROM r{mine} LEFT JOIN n ON n.r = r{mine}.r LEFT JOIN r{theirs} o ON o.r = n.o
+        WHERE r{mine}.r NOT IN (SELECT {mine} FROM m)"""
+
+
 QUERIES = {
     "reconcile_only_a": (_only_a, """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_acctbal, c_mktsegment FROM customer
         WHERE c_custkey % 13 = 0"""),
@@ -267,11 +300,10 @@ QUERIES = {
         FROM customer JOIN restated ON CAST(c_custkey AS VARCHAR) = ref"""),
     "reconcile_diffs": (_diffs, f"""WITH {CUSTOMER_RESTATED}, j AS (SELECT * FROM customer JOIN restated
         ON CAST(c_custkey AS VARCHAR) = ref)
-        SELECT ref AS c_custkey, 'c_acctbal <-> balance' AS column_name, CAST(c_acctbal AS VARCHAR) AS value_a,
+        SELECT ref AS c_custkey, 'c_acctbal' AS column_name, CAST(c_acctbal AS VARCHAR) AS value_a,
           CAST(balance AS VARCHAR) AS value_b, round(balance - c_acctbal, 2) AS difference FROM j WHERE c_acctbal <> balance
-        UNION ALL SELECT ref, 'c_mktsegment <-> segment', c_mktsegment, segment, NULL FROM j
-          WHERE lower(c_mktsegment) <> lower(segment)""".replace("c_acctbal <-> balance", "c_acctbal").replace(
-            "c_mktsegment <-> segment", "c_mktsegment")),
+        UNION ALL SELECT ref, 'c_mktsegment', c_mktsegment, segment, NULL FROM j
+          WHERE lower(c_mktsegment) <> lower(segment)"""),
     "reconcile_stats": _stats(0.0),
     "reconcile_stats_tolerance": _stats(1.5),
     "reconcile_orders_diffs": (_order_diffs, """WITH t AS (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS s FROM lineitem
@@ -330,11 +362,19 @@ QUERIES = {
     "preview": (_preview, "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100"),
     "similarity_scores": (_scores, _SCORES),
     "similar_values": (_typos, _TYPOS),
-    "fuzzy_matches": (_fuzzy_matches, None),
-    "fuzzy_rounds": (_fuzzy_rounds, None),
-    "fuzzy_diffs": (_fuzzy_diffs, None),
-    "fuzzy_only_a": (_fuzzy_left("only_a"), None),
-    "fuzzy_only_b": (_fuzzy_left("only_b"), None),
-    "fuzzy_stats": (_fuzzy_stats, None),
+    "fuzzy_matches": (_fuzzy_matches, _FUZZY + """ SELECT a + 2 AS row_in_a_file, b + 2 AS row_in_b_file, na AS name, nb AS item,
+        score AS similarity_pct, CASE WHEN lower(na) = lower(trim(nb)) THEN 'Identical' WHEN score = 100 THEN
+        'Same after cleaning' ELSE 'Similar' END AS match_type, CASE WHEN score < 95 THEN 'Yes' ELSE '' END AS needs_review,
+        CASE WHEN pa = pb THEN 'All same' ELSE '1 different' END AS verdict FROM j"""),
+    "fuzzy_rounds": (_fuzzy_rounds, _FUZZY + " SELECT a AS row_a, b AS row_b, score FROM m"),
+    "fuzzy_diffs": (_fuzzy_diffs, _FUZZY + """ SELECT na AS name, nb AS item, score AS similarity_pct,
+        'p_retailprice <-> price' AS column_name, CAST(pa AS VARCHAR) AS value_a, CAST(pb AS VARCHAR) AS value_b,
+        round(pb - pa, 2) AS difference FROM j WHERE pa <> pb"""),
+    "fuzzy_only_a": (_fuzzy_left("only_a"), _fuzzy_left_sql("only_a")),
+    "fuzzy_only_b": (_fuzzy_left("only_b"), _fuzzy_left_sql("only_b")),
+    "fuzzy_stats": (_fuzzy_stats, _FUZZY + """ SELECT (SELECT count(*) FROM ra) AS rows_a, (SELECT count(*) FROM rb) AS rows_b,
+        count(*) AS matched_pairs, count(*) FILTER (WHERE score < 95) AS needing_review,
+        count(*) FILTER (WHERE pa <> pb) AS with_different_values, (SELECT count(*) FROM ra) - count(*) AS only_in_a,
+        (SELECT count(*) FROM rb) - count(*) AS only_in_b FROM j"""),
     "fuzzy_word_sets": (_fuzzy_sets, None),
 }

@@ -71,10 +71,11 @@ def parts_named(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parts_mistyped(spark: SparkSession, folder: str) -> DataFrame:
-    """Part names with one letter left out, at a place that depends on the key."""
+    """Part names with one letter left out, at a place that depends on the key; some under another name."""
     p = read(spark, folder, "part")
     gap = (F.col("p_partkey") % F.length("p_name") + 1).cast("int")
     name = F.concat(F.expr("substring(p_name, 1, cast(p_partkey % length(p_name) as int))"),
                     F.substring("p_name", gap + 1, F.length("p_name")))
+    name = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("unlisted "), "p_type")).otherwise(name)
     return p.select(F.col("p_partkey").alias("_row"), name.alias("item"), "p_brand", "p_size",
                     (F.col("p_retailprice") + F.when(F.col("p_partkey") % 5 == 0, 1.0).otherwise(0.0)).alias("price"))

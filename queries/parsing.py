@@ -80,7 +80,7 @@ def _equal(spark, folder):
 def _formula(spark, folder):
     li = read(spark, folder, "lineitem")
     made = formula(li, "[l_extendedprice] * (1 - [l_discount]) / ([l_quantity] - 1)")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", F.round(made, 4).alias("value"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", made.alias("value"))
 
 
 def _kept(spark, folder):
@@ -128,7 +128,7 @@ QUERIES = {
     "values_equal": (_equal, """SELECT c_custkey, c_custkey % 11 <> 0 AS balance_same,
         c_custkey % 3 = 0 OR c_custkey % 17 <> 0 AS segment_same, c_custkey % 13 <> 0 AS key_same FROM customer"""),
     "row_formula": (_formula, """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity <> 1 THEN
-        round(l_extendedprice * (1 - l_discount) / (l_quantity - 1), 4) END AS value FROM lineitem"""),
+        l_extendedprice * (1 - l_discount) / (l_quantity - 1) END AS value FROM lineitem"""),
     "keep_values": (_kept, """SELECT o_orderkey, o_orderpriority FROM orders
         WHERE o_orderpriority IN ('1-URGENT', '5-LOW')"""),
     "distinct_values": (_distinct, """SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment)

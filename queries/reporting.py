@@ -59,7 +59,7 @@ def _pivot(rows, columns, values, calc, table, digits, cells, totals=True, fill=
     def agg(v, where):
         f = f" FILTER (WHERE {where})" if where else ""
         if v is None:
-            return f"CAST(count(*){f} AS DOUBLE)"
+            return f"count(*){f}"
         if calc in ("count", "nunique"):
             return f"count({'DISTINCT ' if calc == 'nunique' else ''}{v}){f}"
         return f"round({'coalesce(' if fill else ''}CAST({names[calc]}({v}){f} AS DOUBLE){', 0)' if fill else ''}, {digits})"

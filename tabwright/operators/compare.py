@@ -79,10 +79,9 @@ def exact_compare(a: DataFrame, b: DataFrame, key_a: Sequence[str], key_b: Seque
     same = [values_equal(x, y, tolerance, ignore_case) for x, y in cells]
     changed = reduce(lambda p, q: p | q, [~s for s in same], F.lit(False))
     joined = left.join(right, keys)
-    matched = joined.select(*key_cols, *[c for i, (x, y) in enumerate(pairs) for c in (
-        F.col(f"_a{i}").alias(f"{x} (A)"), F.col(f"_b{i}").alias(f"{y} (B)"))], changed.alias("changed"))
-    diffs = _difference_rows(joined.filter(changed), keys, [x if x == y else f"{x} <-> {y}" for x, y in pairs],
-                             cells, same)
+    matched = joined.select(*key_cols, *[c for i, (x, _) in enumerate(pairs) for c in (
+        F.col(f"_a{i}").alias(f"{x} (A)"), F.col(f"_b{i}").alias(f"{x} (B)"))], changed.alias("changed"))
+    diffs = _difference_rows(joined.filter(changed), keys, [x for x, _ in pairs], cells, same)
 
     # counts: one row per key and side, summed before the shuffle
     n_a, n_b = F.sum("_in_a").alias("n_a"), F.sum("_in_b").alias("n_b")

@@ -78,7 +78,7 @@ def _calendar(periods: DataFrame, period: str) -> DataFrame:
     """Every period between the first and the last of a small table of periods."""
     span = periods.agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a is not null")
     step = F.expr(f"interval {period_step(period)}")
-    return span.select(F.explode(F.sequence("a", "b", step)).cast("date").alias("p"))
+    return span.select(F.explode(F.sequence("a", "b", step)).alias("p"))
 
 
 def _numbers(df: DataFrame, columns: Sequence[str], decimal: str) -> list[Column]:
