@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import constants as C
-from .text import is_number, is_text, strip, western_digits
+from .text import is_number, is_text, let, strip, western_digits
 
 # Month names in full or shortened, with the number each stands for.
 _MONTHS = {"jan(?:uary)?": 1, "feb(?:ruary)?": 2, "mar(?:ch)?": 3, "apr(?:il)?": 4, "may": 5, "june?": 6,
@@ -59,8 +59,30 @@ def parse_date(c: Column, dtype: T.DataType, day_first: bool = True) -> Column:
         return _serial(c.cast("double"))
     if not is_text(dtype):
         return F.lit(None).cast("timestamp_ntz")
-    t = strip(western_digits(c))
+    return F.coalesce(_quick_date(c, day_first),
+                      let(strip(western_digits(c)), lambda t: _careful_date(t, day_first)))
 
+
+def _quick_date(c: Column, day_first: bool) -> Column:
+    """Ten-character dates and day numbers, without regular expressions where possible."""
+    marks = ("-", "/", ".")
+
+    def cut(start: int, size: int) -> Column:
+        return F.substring(c, start, size)
+
+    def day(y: Column, m: Column, d: Column) -> Column:
+        return F.concat(y, F.lit("-"), m, F.lit("-"), d).try_cast("timestamp_ntz")
+
+    year_first = cut(5, 1).isin(*marks) & cut(8, 1).isin(*marks)
+    year_last = cut(3, 1).isin(*marks) & cut(6, 1).isin(*marks)
+    d, m = (cut(1, 2), cut(4, 2)) if day_first else (cut(4, 2), cut(1, 2))
+    return (F.when((F.length(c) == 10) & year_first, day(cut(1, 4), cut(6, 2), cut(9, 2)))
+            .when((F.length(c) == 10) & year_last, F.coalesce(day(cut(7, 4), m, d), day(cut(7, 4), d, m)))
+            .when((F.length(c) == 5) & c.rlike("^[0-9]{5}"), _serial(c.try_cast("double"))))
+
+
+def _careful_date(t: Column, day_first: bool) -> Column:
+    """All forms, from trimmed text with western digits."""
     def part(pattern: str, i: int) -> Column:
         return F.regexp_extract(t, pattern, i)
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import constants as C
-from .text import is_number, is_text, strip, western_digits
+from .text import is_number, is_text, let, strip, western_digits
 
-_CURRENCY = (r"(?iU)\b(?:" + "|".join(C.CURRENCY_WORDS) + r")\b|" + C.CURRENCY_DINAR
-             + "|[" + C.CURRENCY_SYMBOLS + "]")
+_CURRENCY_OR_SPACE = (r"(?iU)\b(?:" + "|".join(C.CURRENCY_WORDS) + r")\b|" + C.CURRENCY_DINAR
+             + "|[" + C.CURRENCY_SYMBOLS + "]|" + C.SPACE + "+")
 _BODY = {".": r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?",
          ",": r"(?:[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+)(?:,[0-9]+)?"}
 
@@ -27,8 +27,15 @@ def parse_number(c: Column, dtype: T.DataType, decimal: str = ".") -> Column:
         return c.cast("double")
     if not is_text(dtype):
         return F.lit(None).cast("double")
-    t = F.regexp_replace(western_digits(c), _CURRENCY, "")
-    t = F.regexp_replace(t, rf"(?U){C.SPACE}+", "")
+    # most cells are bare digits: a short test settles them, the rest takes the long way
+    bare = F.when(c.rlike(r"^[0-9]{1,15}\z" if decimal == "," else r"^[0-9]{1,15}(?:\.[0-9]+)?\z"),
+                  c.try_cast("double"))
+    known = F.when(c.rlike(r"[^0-9.,()%+-]"), F.regexp_replace(western_digits(c), _CURRENCY_OR_SPACE, "")).otherwise(c)
+    return F.coalesce(bare, let(known, lambda t: _signed_number(t, decimal)))
+
+
+def _signed_number(t: Column, decimal: str) -> Column:
+    """The number in a text without currency and spaces."""
     digits = F.regexp_replace(t, r"[^0-9.,]", "")
     if decimal == ".":
         digits = F.replace(digits, F.lit(","), F.lit(""))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,11 @@ def typed(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
     return present(col(name), dtype), dtype
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once per row, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def is_text(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StringType, T.CharType, T.VarcharType))
 
@@ -57,7 +62,9 @@ def tidy_spaces(c: Column) -> Column:
 
 
 def western_digits(c: Column) -> Column:
-    return F.translate(c, C.EASTERN_DIGITS, C.WESTERN_DIGITS)
+    """Arabic and Persian digits and marks as western ones. Most texts have none and pass untouched."""
+    return F.when(c.rlike("[" + C.EASTERN_DIGITS + "]"),
+                  F.translate(c, C.EASTERN_DIGITS, C.WESTERN_DIGITS)).otherwise(c)
 
 
 def _float_text(c: Column) -> Column:

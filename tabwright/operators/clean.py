@@ -231,10 +231,10 @@ def clean_table(df: DataFrame, cfg: Mapping | None = None, table: str = "A", as_
     failed = [F.when(raw.isNotNull() & made.isNull(), F.struct(
         F.lit(c).alias("column"), value_text(raw, dtype).alias("value"), F.lit(C.PROBLEMS[what]).alias("problem")))
         for c, raw, dtype, made, what in unread]
-    failures = F.filter(F.array(*failed), lambda p: p.isNotNull()) if failed else F.array().cast(PROBLEM_TYPE)
+    failures = F.array(*failed) if failed else F.array().cast(PROBLEM_TYPE)
     data = local.select(*[values.get(c, col(c)).alias(c) for c in names], ROW, failures.alias("_failures"))
-    checks = row_rule_problems(data, cfg["rules"], as_of, cfg["day_first"])
-    problems = list_problems(data, F.concat(F.col("_failures"), checks), table)
+    judged, checks = row_rule_problems(data, cfg["rules"], as_of, cfg["day_first"])
+    problems = list_problems(judged, F.concat(F.col("_failures"), checks), table)
     data = data.drop("_failures")
     for rule in cfg["rules"]:
         if rule.get("unique"):

@@ -216,7 +216,7 @@ def check_quality(df: DataFrame, table: str = "A", cfg: Mapping | None = None, a
     ]
     entries = F.array(*[F.when(test, F.struct(F.lit(name).alias("flag"), shown.alias("shown"), rank.alias("rank")))
                         for name, test, shown, rank in flags])
-    flagged = parsed.select("position", "n", F.inline(F.filter(entries, lambda e: e.isNotNull())))
+    flagged = parsed.select("position", "n", F.inline(entries)).where("flag is not null")
 
     # values that agree as normalised text, and values that agree apart from case
     dtype_is_float = per_column([isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) for c in names], "boolean")

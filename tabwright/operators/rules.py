@@ -24,9 +24,19 @@ def _today(as_of: dt.date | str | None) -> Column:
     return (F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")).cast("timestamp_ntz")
 
 
-def row_rule_problems(df: DataFrame, rules: Sequence[Mapping], as_of=None, day_first: bool = True) -> Column:
-    """Array of (column, value, problem) for the checks that need only the row itself."""
-    found = []
+def row_rule_problems(df: DataFrame, rules: Sequence[Mapping], as_of=None,
+                      day_first: bool = True) -> tuple[DataFrame, Column]:
+    """The frame with the numbers and dates the rules need, and an array of (column, value, problem) for
+    the checks that need only the row itself, NULL where a check holds."""
+    found, read = [], {}
+
+    def number(name: str) -> Column:
+        read.setdefault(f"_number {name}", parse_number(*typed(df, name)))
+        return col(f"_number {name}")
+
+    def moment(name: str) -> Column:
+        read.setdefault(f"_date {name}", parse_date(*typed(df, name), day_first))
+        return col(f"_date {name}")
 
     def add(name: str, broken: Column, text: str) -> None:
         c, dtype = typed(df, name)
@@ -46,7 +56,7 @@ def row_rule_problems(df: DataFrame, rules: Sequence[Mapping], as_of=None, day_f
                 if is_date(dtype):
                     value, bound = c.cast("timestamp_ntz"), F.lit(str(rule[key])).cast("timestamp_ntz")
                 else:
-                    value, bound = parse_number(c, dtype), F.lit(float(rule[key]))
+                    value, bound = number(name), F.lit(float(rule[key]))
                 add(name, value < bound if key == "min" else value > bound, C.PROBLEMS[key].format(rule[key]))
         if "allowed" in rule:
             allowed = [str(x).strip().lower() for x in rule["allowed"]]
@@ -57,22 +67,21 @@ def row_rule_problems(df: DataFrame, rules: Sequence[Mapping], as_of=None, day_f
             add(name, c.isNotNull() & ~value_text(c, dtype).rlike(whole),
                 C.PROBLEMS["pattern"].format(rule["pattern"]))
         if rule.get("not_future"):
-            add(name, parse_date(c, dtype, day_first) > _today(as_of), C.PROBLEMS["not_future"])
+            add(name, moment(name) > _today(as_of), C.PROBLEMS["not_future"])
         other = rule.get("not_after")
         if other is not None and other in df.columns:
-            oc, otype = typed(df, other)
-            if is_date(dtype) or is_date(otype):
-                later = parse_date(c, dtype, day_first) > parse_date(oc, otype, day_first)
+            if is_date(dtype) or is_date(typed(df, other)[1]):
+                later = moment(name) > moment(other)
             else:
-                later = parse_number(c, dtype) > parse_number(oc, otype)
+                later = number(name) > number(other)
             add(name, later, C.PROBLEMS["not_after"].format(other))
     if not found:
-        return F.array().cast(PROBLEM_TYPE)
-    return F.filter(F.array(*found), lambda p: p.isNotNull())
+        return df, F.array().cast(PROBLEM_TYPE)
+    return df.select("*", *[c.alias(n) for n, c in read.items()]), F.array(*found)
 
 
 def list_problems(df: DataFrame, problems: Column, table: str = "A") -> DataFrame:
-    return (df.select(file_row(), F.inline(problems))
+    return (df.select(file_row(), F.inline(problems)).where("problem is not null")
             .select(F.lit(table).alias("table"), "row_in_file", "column", "value", "problem"))
 
 
@@ -95,7 +104,7 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Mapping], table: str = "A", as
                    day_first: bool = True) -> DataFrame:
     """Problem list (table, row_in_file, column, value, problem) of all rules, in one pass over the rows
     plus one grouped count per unique rule. The table carries ``_row``."""
-    out = list_problems(df, row_rule_problems(df, rules, as_of, day_first), table)
+    out = list_problems(*row_rule_problems(df, rules, as_of, day_first), table)
     for rule in rules:
         if rule.get("unique") and rule["column"] in df.columns:
             out = out.unionAll(repeated_values(df, rule["column"], table))

@@ -34,8 +34,8 @@ def rule_problems(df: DataFrame, rules: Sequence[Mapping], row_id: Sequence[str]
     """Broken rules, each with the columns that identify its row. ``unique`` needs the whole table."""
     if any(r.get("unique") for r in rules):
         raise ValueError("a unique rule needs the whole table; use evaluate_rules on each batch or table")
-    problems = row_rule_problems(df, rules, as_of, day_first)
-    return df.select(*[col(c).alias(f"row_{c}") for c in row_id], F.inline(problems))
+    judged, problems = row_rule_problems(df, rules, as_of, day_first)
+    return judged.select(*[col(c).alias(f"row_{c}") for c in row_id], F.inline(problems)).where("problem is not null")
 
 
 def append_problems(stream: DataFrame, rules: Sequence[Mapping], row_id: Sequence[str], path: str, checkpoint: str,

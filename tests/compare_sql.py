@@ -56,7 +56,7 @@ def session(cpus="8"):
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-             .config("spark.driver.memory", "8g").getOrCreate())
+             .config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
