@@ -316,11 +316,11 @@ def _value_log(staged, fixes, df, names, dates, numbers, whole, cfg, table) -> D
 
 def _duplicate_log(data: DataFrame, table: str) -> DataFrame:
     """Number of removed copies and the first 15 of them."""
-    groups = data.groupBy(*[col(c) for c in data_columns(data)]).agg(F.min(ROW).alias(ROW), F.count(F.lit(1)).alias("n"))
+    groups = data.groupBy(*[col(c) for c in data_columns(data)]).agg(F.min(ROW).alias(ROW), F.count(F.lit(1)).alias("_copies"))
     gone = data.select(ROW).join(groups.select(ROW), ROW, "left_anti")
     first = gone.orderBy(ROW).limit(15).agg(F.lit(None).cast("bigint").alias("n"), F.array_join(
         F.transform(F.array_sort(F.collect_list(ROW)), lambda r: (r + 2).cast("string")), ", ").alias("rows"))
-    total = groups.agg(F.sum(F.col("n") - 1).alias("n"), F.lit(None).cast("string").alias("rows"))
+    total = groups.agg(F.sum(F.col("_copies") - 1).alias("n"), F.lit(None).cast("string").alias("rows"))
     both = total.unionAll(first).agg(F.max("n").alias("n"), F.max("rows").alias("rows")).where("n > 0")
     more = F.when(F.col("n") > 15, F.lit(" ...")).otherwise(F.lit(""))
     return both.select(F.lit(table).alias("table"), F.lit(STEPS["dups"]).alias("step"),

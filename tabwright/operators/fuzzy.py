@@ -32,6 +32,10 @@ def _groups(side: DataFrame) -> DataFrame:
     return stable(made.withColumn("id", F.monotonically_increasing_id()))
 
 
+# below so many possible pairs of texts the search for the closest one takes a single step
+FEW_PAIRS = 2_000_000
+
+
 class FuzzyComparison:
     """Pair rows of A and B whose key text is similar (0 to 100), best pairs first, each row at most once.
 
@@ -171,7 +175,10 @@ def _unmatched(df: DataFrame, members: DataFrame, used: DataFrame, nodes: DataFr
                 .select("id", F.col("_top.score").alias("closest_pct"), (-F.col("_top._neg")).alias("_row_b")))
 
     found = best(edges.join(wanted.withColumnRenamed("id", mine), mine, "left_semi"))
-    for level in (75, 55, 1):
+    sizes = open_nodes.groupBy("block").agg(F.count(F.lit(1)).alias("_m")).join(
+        others.groupBy("block").agg(F.count(F.lit(1)).alias("_n")), "block")
+    few = (sizes.agg(F.sum(F.col("_m").cast("double") * F.col("_n"))).first()[0] or 0) <= FEW_PAIRS
+    for level in (1,) if few and floor <= 1 else (75, 55, 1):
         if level >= threshold or level < floor:
             continue
         found = stable(found)
@@ -190,6 +197,7 @@ def _unmatched(df: DataFrame, members: DataFrame, used: DataFrame, nodes: DataFr
     shown = F.concat_ws(" / ", *[F.coalesce(value_text(*typed(other, k)), F.lit("nan")) for k in other_keys])
     texts = other.select(F.col(ROW).cast("bigint").alias("_row_b"), shown.alias("closest"))
     near = found.join(texts, "_row_b").select("id", "closest", "closest_pct")
-    return (left.join(near, "id", "left").drop("id").join(df.withColumn("row", F.col(ROW).cast("bigint")), "row")
-            .select((F.col("row") + 2).alias("row_in_file"), *[col(c) for c in data_columns(df)],
-                    "closest", "closest_pct"))
+    found = left.join(near, "id", "left").select(F.col("row").alias("_left"), F.struct("closest", "closest_pct").alias("_near"))
+    return (found.join(df.withColumn("_left", F.col(ROW).cast("bigint")), "_left")
+            .select((F.col("_left") + 2).alias("row_in_file"), *[col(c) for c in data_columns(df)],
+                    "_near.closest", "_near.closest_pct"))

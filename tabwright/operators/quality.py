@@ -231,7 +231,15 @@ def check_quality(df: DataFrame, table: str = "A", cfg: Mapping | None = None, a
     single = distinct.groupBy("position").agg(F.count(F.lit(1)).alias("_d"), F.sum("n").alias("n"),
                                               F.min_by("v", "r").alias("shown")).where("_d = 1 and n > 1").select(
         "position", "n", F.lit("constant").alias("flag"), "shown", F.lit(0.0).alias("rank"))
-    found = _examples(flagged.unionByName(repeated).unionByName(single))
+
+    # typos
+    searched = names if typos is True else list(typos or [])
+    wanted = [f.kind == "text" and c in searched for c, f in zip(names, facts)]
+    pairs = stable(similar_values(real.where(per_column(wanted, "boolean") & is_text), limit=similar_limit))
+    typo_flags = pairs.select("position", F.col("similar_count").alias("n"), F.lit("typos").alias("flag"), F.concat(
+        F.lit("'"), "similar_value", F.lit("' ~ '"), "value", F.lit("'")).alias("shown"),
+        (-F.col("similarity_pct")).cast("double").alias("rank"))
+    found = _examples(reduce(DataFrame.unionByName, [flagged, repeated, single, typo_flags]))
 
     # spelling variants: keys with several spellings; the example is the first key's spellings
     keyed = real.where(is_text).withColumn("key", spelling_key(tidy_spaces(v)))
@@ -246,14 +254,7 @@ def check_quality(df: DataFrame, table: str = "A", cfg: Mapping | None = None, a
     found = found.unionByName(variants.join(spelled, "position").select(
         "position", F.lit("variants").alias("flag"), "cells", "distinct", "examples"))
 
-    # typos
-    searched = names if typos is True else list(typos or [])
-    wanted = per_column([f.kind == "text" and c in searched for c, f in zip(names, facts)], "boolean")
-    pairs = stable(similar_values(real.where(wanted & is_text), limit=similar_limit))
-    typo_flags = pairs.select("position", F.col("similar_count").alias("n"), F.lit("typos").alias("flag"), F.concat(
-        F.lit("'"), "similar_value", F.lit("' ~ '"), "value", F.lit("'")).alias("shown"),
-        (-F.col("similarity_pct")).cast("double").alias("rank"))
-    found = stable(found.unionByName(_examples(typo_flags)))
+    found = stable(found)
 
     # issue rows
     n_rows = values.where("position = 0").agg(F.sum("n").alias("_rows"))

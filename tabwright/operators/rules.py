@@ -131,8 +131,8 @@ def check_formulas(df: DataFrame, checks: Sequence[Mapping], show: Sequence[str]
         entries.append(F.struct(F.lit(n).alias("position"), F.lit(name).alias("check"), left.alias("value"),
                                 right.alias("expected"), F.lit(float(check.get("tolerance", 0.01))).alias("_tol"),
                                 F.lit(None if pct is None else float(pct)).cast("double").alias("_pct")))
-    rows = df.select(file_row(), *[value_text(*typed(df, c)).alias(c) for c in show],
-                     F.inline(F.array(*entries)))
+    shown = F.struct(F.lit(0).alias("_"), *[value_text(*typed(df, c)).alias(c) for c in show])
+    rows = df.select(file_row(), shown.alias("_shown"), F.inline(F.array(*entries)))
     able = is_finite(F.col("value")) & is_finite(F.col("expected"))
     gap = F.col("value") - F.col("expected")
     wrong = able & (F.abs(gap) > F.col("_tol")) & (
@@ -143,7 +143,7 @@ def check_formulas(df: DataFrame, checks: Sequence[Mapping], show: Sequence[str]
         F.count_if(~F.col("_able")).alias("could_not_check"),
         F.bround(F.coalesce(F.sum(F.when(F.col("_wrong"), gap)), F.lit(0.0)), 2).alias("total_difference"))
     mismatches = rows.filter("_wrong").select(
-        "check", "row_in_file", *[col(c) for c in show], "value", F.bround("expected", 4).alias("expected"),
+        "check", "row_in_file", *[F.col("_shown")[c].alias(c) for c in show], "value", F.bround("expected", 4).alias("expected"),
         F.bround(gap, 4).alias("difference"),
         F.bround(F.try_divide(gap, F.col("expected")) * 100, 2).alias("difference_pct"))
     return FormulaChecks(summary.orderBy("position").drop("position"), mismatches)

@@ -63,7 +63,7 @@ def add_period(df: DataFrame, date_column: str, period: str, day_first: bool = T
 
 def _calculated(df: DataFrame, keys: Sequence[str], values: Sequence[str], calc: str) -> DataFrame:
     """Group by keys: one column per value, plus ``rows``."""
-    rows = F.count(F.lit(1)).alias("rows")
+    rows = F.count(F.lit(1)).alias("_rows")
     keyed = [col(k) for k in keys]
     if calc != "median":
         return df.groupBy(*keyed).agg(*[aggregate(col(v), calc).alias(v) for v in values], rows)
@@ -71,14 +71,14 @@ def _calculated(df: DataFrame, keys: Sequence[str], values: Sequence[str], calc:
     for v in values:
         m = quantiles(df, keys, v, [0.5]).select(*[col(k).alias(f"_{k}") for k in keys], F.col("quantiles")[0].alias(v))
         out = out.join(m, [col(k).eqNullSafe(col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
-    return out.select(*keyed, *[col(v) for v in values], "rows")
+    return out.select(*keyed, *[col(v) for v in values], "_rows")
 
 
 def _calendar(periods: DataFrame, period: str) -> DataFrame:
     """Every period between the first and the last of a small table of periods."""
-    span = periods.agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a is not null")
+    span = periods.agg(F.min("_p").alias("a"), F.max("_p").alias("b")).where("a is not null")
     step = F.expr(f"interval {period_step(period)}")
-    return span.select(F.explode(F.sequence("a", "b", step)).alias("p"))
+    return span.select(F.explode(F.sequence("a", "b", step)).alias("_p"))
 
 
 def _numbers(df: DataFrame, columns: Sequence[str], decimal: str) -> list[Column]:
@@ -93,37 +93,37 @@ def trend(df: DataFrame, date_column: str, period: str, values: Sequence[str] =
     The rows are aggregated to one line per period before anything else; gap filling and the look back
     are joins of that small table on the period.
     """
-    p = period_start(parse_date(*typed(df, date_column), day_first), period).alias("p")
-    dated = df.select(p, *_numbers(df, values, decimal)).where("p is not null")
-    grouped = _calculated(dated, ["p"], values, calc)
-    full = _calendar(grouped, period).join(grouped, "p", "left")
+    p = period_start(parse_date(*typed(df, date_column), day_first), period).alias("_p")
+    dated = df.select(p, *_numbers(df, values, decimal)).where("_p is not null")
+    grouped = _calculated(dated, ["_p"], values, calc)
+    full = _calendar(grouped, period).join(grouped, "_p", "left")
     zero = [F.coalesce(col(v).cast("double"), F.lit(0.0)) if calc in ADDITIVE else col(v) for v in values]
-    full = full.select("p", *[z.alias(v) for z, v in zip(zero, values)],
-                       F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"))
-    metric = values[0] if values else "rows"
-    before = full.select((F.col("p") + F.expr(f"interval {period_step(period)}")).cast("date").alias("p"),
+    full = full.select("_p", *[z.alias(v) for z, v in zip(zero, values)],
+                       F.coalesce("_rows", F.lit(0).cast("bigint")).alias("_rows"))
+    metric = values[0] if values else "_rows"
+    before = full.select((F.col("_p") + F.expr(f"interval {period_step(period)}")).cast("date").alias("_p"),
                          col(metric).cast("double").alias("_before"))
     change = F.bround(F.try_divide(col(metric) - F.col("_before"), F.col("_before")) * 100, 1)
-    return full.join(before, "p", "left").orderBy("p").select(
-        period_label(F.col("p"), period).alias(C.PERIODS[period]), *[col(v).alias(f"{v} ({calc})") for v in values],
-        F.col("rows").alias("Rows"), change.alias("Change vs previous %"))
+    return full.join(before, "_p", "left").orderBy("_p").select(
+        period_label(F.col("_p"), period).alias(C.PERIODS[period]), *[col(v).alias(f"{v} ({calc})") for v in values],
+        F.col("_rows").alias("Rows"), change.alias("Change vs previous %"))
 
 
 def top_categories(df: DataFrame, category: str, metric: str | None, calc: str, top_n: int) -> DataFrame:
     """(category, place) of the highest ranked categories; ties go to the smaller name. At most ``top_n`` rows."""
-    labelled = df.select(label(df, category).alias("c"), *([col(metric)] if metric else []))
-    ranked = _calculated(labelled, ["c"], [metric] if metric else [], calc)
-    best = ranked.orderBy(F.col(metric).desc_nulls_last() if metric else F.desc("rows"), "c").limit(top_n)
-    order = F.col(metric).desc_nulls_last() if metric else F.desc("rows")
-    return best.select("c", F.row_number().over(W.orderBy(order, "c")).alias("place"))
+    labelled = df.select(label(df, category).alias("_c"), *([col(metric)] if metric else []))
+    ranked = _calculated(labelled, ["_c"], [metric] if metric else [], calc)
+    best = ranked.orderBy(F.col(metric).desc_nulls_last() if metric else F.desc("_rows"), "_c").limit(top_n)
+    order = F.col(metric).desc_nulls_last() if metric else F.desc("_rows")
+    return best.select("_c", F.row_number().over(W.orderBy(order, "_c")).alias("_place"))
 
 
 def _mapped(df: DataFrame, category: str, top: DataFrame, keep: Sequence[Column]) -> DataFrame:
     """Rows with their category, the ones outside the top as "Other"."""
-    picked = df.select(label(df, category).alias("c"), *keep)
-    return picked.join(F.broadcast(top), "c", "left").select(
-        F.when(F.col("place").isNotNull(), F.col("c")).otherwise(C.OTHER).alias("c"),
-        *[c for c in picked.columns if c != "c"])
+    picked = df.select(label(df, category).alias("_c"), *keep)
+    return picked.join(F.broadcast(top), "_c", "left").select(
+        F.when(F.col("_place").isNotNull(), F.col("_c")).otherwise(C.OTHER).alias("_c"),
+        *[c for c in picked.columns if c != "_c"])
 
 
 def category_breakdown(df: DataFrame, category: str, values: Sequence[str] = (), calc: str = "sum", top_n: int = 10,
@@ -132,30 +132,30 @@ def category_breakdown(df: DataFrame, category: str, values: Sequence[str] = (),
     data = df.select(col(category), *_numbers(df, values, decimal))
     metric = values[0] if values else None
     top = top_categories(data, category, metric, calc, top_n)
-    table = _calculated(_mapped(data, category, top, [col(v) for v in values]), ["c"], values, calc)
-    shared = metric if metric and calc in ("sum", "count") else "rows"
+    table = _calculated(_mapped(data, category, top, [col(v) for v in values]), ["_c"], values, calc)
+    shared = metric if metric and calc in ("sum", "count") else "_rows"
     share = F.bround(F.try_divide(col(shared), F.sum(col(shared)).over(W.partitionBy())) * 100, 1)
     title = f"Share % (of {metric})" if shared == metric else "Share % (of rows)"
-    placed = table.join(F.broadcast(top), "c", "left").withColumn("_share", share)
-    return placed.orderBy(F.col("place").asc_nulls_last()).select(
-        F.col("c").alias(category), *[col(v).alias(f"{v} ({calc})") for v in values], F.col("rows").alias("Rows"),
+    placed = table.join(F.broadcast(top), "_c", "left").withColumn("_share", share)
+    return placed.orderBy(F.col("_place").asc_nulls_last()).select(
+        F.col("_c").alias(category), *[col(v).alias(f"{v} ({calc})") for v in values], F.col("_rows").alias("Rows"),
         F.col("_share").alias(title))
 
 
 def trend_by_category(df: DataFrame, date_column: str, period: str, category: str, metric: str | None = None,
                       calc: str = "sum", top_n: int = 10, day_first: bool = True, decimal: str = ".") -> DataFrame:
     """One row per period, gaps included, and one column per top category (and "Other")."""
-    p = period_start(parse_date(*typed(df, date_column), day_first), period).alias("p")
+    p = period_start(parse_date(*typed(df, date_column), day_first), period).alias("_p")
     data = df.select(p, col(category), *_numbers(df, [metric] if metric else [], decimal))
     top = top_categories(data, category, metric, calc, top_n)
-    heads = [r["c"] for r in top.orderBy("place").collect()]        # at most top_n
-    mapped = _mapped(data, category, top, ["p", *([col(metric)] if metric else [])]).where("p is not null")
-    small = _calculated(mapped, ["p", "c"], [metric] if metric else [], calc)
+    heads = [r["_c"] for r in top.orderBy("_place").collect()]        # at most top_n
+    mapped = _mapped(data, category, top, ["_p", *([col(metric)] if metric else [])]).where("_p is not null")
+    small = _calculated(mapped, ["_p", "_c"], [metric] if metric else [], calc)
     columns = heads + ([] if C.OTHER in heads else [C.OTHER])
-    wide = small.groupBy("p").pivot("c", columns).agg(F.first(col(metric) if metric else F.col("rows")))
-    full = _calendar(small, period).join(wide, "p", "left").orderBy("p")
+    wide = small.groupBy("_p").pivot("_c", columns).agg(F.first(col(metric) if metric else F.col("_rows")))
+    full = _calendar(small, period).join(wide, "_p", "left").orderBy("_p")
     fill = calc in ADDITIVE or not metric
-    return full.select(period_label(F.col("p"), period).alias(C.PERIODS[period]), *[
+    return full.select(period_label(F.col("_p"), period).alias(C.PERIODS[period]), *[
         (F.coalesce(col(h).cast("double"), F.lit(0.0)) if fill else col(h)).alias(h) for h in columns])
 
 

@@ -14,7 +14,7 @@ from ..operators.compare import (column_compare_summary, compare_columns, compar
 from ..operators.fuzzy import fuzzy_compare
 from ..operators.pivot import pivot_table
 from ..operators.quality import check_quality
-from ..operators.rows import ensure_rows
+from ..operators.rows import ensure_rows, find_row
 
 Results = dict[str, DataFrame]
 
@@ -123,4 +123,8 @@ def _columns(tables: Mapping[str, DataFrame], o: Mapping) -> Results:
 def _rows(tables: Mapping[str, DataFrame], o: Mapping) -> Results:
     made = compare_rows(tables["A"], o["by_a"], o["value_a"], tables["B"], o["by_b"], o["value_b"], o.get("pairs"),
                         o.get("ignore_case", True), o.get("tolerance", 0.0))
-    return {"Summary": _lines(row_compare_summary(made)), "Row comparison": made}
+    notes = [find_row(tables[t], o[f"by_{s}"], o[f"value_{s}"]).where("hits > 1").select(
+        F.lit("Note").alias("item"), F.format_string("%d rows matched; using the first.", "hits").alias("value"))
+        for t, s in (("A", "a"), ("B", "b"))]
+    summary = reduce(DataFrame.unionAll, notes, _lines(row_compare_summary(made)))
+    return {"Summary": summary, "Row comparison": made}

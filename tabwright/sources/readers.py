@@ -19,6 +19,11 @@ SEPARATORS = [",", ";", "|", "\t"]
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
            "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
+ARABIC_WINDOWS = "cp1256"
+# its upper half as ISO-8859-1 shows it and as it should read; Spark decodes only the former by itself
+_HIGH = [(chr(b), bytes([b]).decode("cp1256")) for b in range(128, 256)]
+_SEEN, _MEANT = ("".join(x) for x in zip(*_HIGH))
+
 # File endings and how they are read.
 FORMATS = {"csv": "text", "txt": "text", "tsv": "text", "json": "json", "parquet": "parquet"}
 
@@ -33,7 +38,7 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 def find_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 when every line is valid UTF-8 (one distributed pass), else Arabic Windows."""
     broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    return "windows-1256" if broken else "UTF-8"
+    return ARABIC_WINDOWS if broken else "UTF-8"
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
@@ -42,8 +47,13 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
 
     ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
     """
+    encoding = encoding or find_encoding(spark, path)
+    arabic = encoding == ARABIC_WINDOWS
     df = spark.read.csv(path, header=True, inferSchema=False, sep=sep or sniff_separator(spark, path), quote='"',
-                        escape='"', multiLine=multi_line, encoding=encoding or find_encoding(spark, path))
+                        escape='"', multiLine=multi_line, encoding="ISO-8859-1" if arabic else encoding)
+    if arabic:
+        names = [c.translate(str.maketrans(_SEEN, _MEANT)) for c in df.columns]
+        df = df.select(*[F.translate(col(c), _SEEN, _MEANT).alias(n) for c, n in zip(df.columns, names)])
     df = df.select(*[F.when(~col(c).isin(MISSING), col(c)).alias(c.lstrip("﻿")) for c in df.columns])
     return infer_numbers(df) if infer else df
 
