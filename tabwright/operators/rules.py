@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -104,11 +105,10 @@ def evaluate_rules(df: DataFrame, rules: Sequence[Mapping], table: str = "A", as
                    day_first: bool = True) -> DataFrame:
     """Problem list (table, row_in_file, column, value, problem) of all rules, in one pass over the rows
     plus one grouped count per unique rule. The table carries ``_row``."""
-    out = list_problems(*row_rule_problems(df, rules, as_of, day_first), table)
-    for rule in rules:
-        if rule.get("unique") and rule["column"] in df.columns:
-            out = out.unionAll(repeated_values(df, rule["column"], table))
-    return out
+    parts = [repeated_values(df, r["column"], table) for r in rules if r.get("unique") and r["column"] in df.columns]
+    if not parts or any(set(r) - {"column", "unique"} for r in rules):
+        parts.insert(0, list_problems(*row_rule_problems(df, rules, as_of, day_first), table))
+    return reduce(DataFrame.unionAll, parts)
 
 
 class FormulaChecks(NamedTuple):

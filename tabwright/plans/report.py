@@ -19,6 +19,7 @@ from ..operators.pivot import aggregate, label, pivot_table
 from ..operators.quantile import quantiles
 from ..operators.rows import ensure_rows
 from ..operators.rules import check_formulas
+from ..operators.stable import stable
 
 ADDITIVE = ("sum", "count", "nunique")
 
@@ -95,7 +96,7 @@ def trend(df: DataFrame, date_column: str, period: str, values: Sequence[str] =
     """
     p = period_start(parse_date(*typed(df, date_column), day_first), period).alias("_p")
     dated = df.select(p, *_numbers(df, values, decimal)).where("_p is not null")
-    grouped = _calculated(dated, ["_p"], values, calc)
+    grouped = stable(_calculated(dated, ["_p"], values, calc))       # one line per period: the rows are read once
     full = _calendar(grouped, period).join(grouped, "_p", "left")
     zero = [F.coalesce(col(v).cast("double"), F.lit(0.0)) if calc in ADDITIVE else col(v) for v in values]
     full = full.select("_p", *[z.alias(v) for z, v in zip(zero, values)],
@@ -109,30 +110,47 @@ def trend(df: DataFrame, date_column: str, period: str, values: Sequence[str] =
         F.col("_rows").alias("Rows"), change.alias("Change vs previous %"))
 
 
-def top_categories(df: DataFrame, category: str, metric: str | None, calc: str, top_n: int) -> DataFrame:
-    """(category, place) of the highest ranked categories; ties go to the smaller name. At most ``top_n`` rows."""
-    labelled = df.select(label(df, category).alias("_c"), *([col(metric)] if metric else []))
-    ranked = _calculated(labelled, ["_c"], [metric] if metric else [], calc)
-    best = ranked.orderBy(F.col(metric).desc_nulls_last() if metric else F.desc("_rows"), "_c").limit(top_n)
+# calculations of a whole that follow from those of its parts, and how
+FROM_PARTS = {"sum": "sum", "count": "sum", "min": "min", "max": "max"}
+
+
+def _combined(parts: DataFrame, keys: Sequence[str], values: Sequence[str], calc: str) -> DataFrame:
+    """Coarser groups from finer ones that `_calculated` made."""
+    made = {"sum": F.sum, "min": F.min, "max": F.max}[FROM_PARTS[calc]]
+    return parts.groupBy(*[col(k) for k in keys]).agg(*[made(col(v)).alias(v) for v in values],
+                                                     F.sum("_rows").alias("_rows"))
+
+
+def top_categories(ranked: DataFrame, metric: str | None, top_n: int) -> DataFrame:
+    """(category, place) of the highest ranked categories out of one line per category; ties go to the
+    smaller name. At most ``top_n`` rows, written once."""
     order = F.col(metric).desc_nulls_last() if metric else F.desc("_rows")
-    return best.select("_c", F.row_number().over(W.orderBy(order, "_c")).alias("_place"))
+    best = ranked.orderBy(order, "_c").limit(top_n)
+    return stable(best.select("_c", F.row_number().over(W.orderBy(order, "_c")).alias("_place")))
 
 
-def _mapped(df: DataFrame, category: str, top: DataFrame, keep: Sequence[Column]) -> DataFrame:
+def _mapped(data: DataFrame, top: DataFrame) -> DataFrame:
     """Rows with their category, the ones outside the top as "Other"."""
-    picked = df.select(label(df, category).alias("_c"), *keep)
-    return picked.join(F.broadcast(top), "_c", "left").select(
+    return data.join(F.broadcast(top), "_c", "left").select(
         F.when(F.col("_place").isNotNull(), F.col("_c")).otherwise(C.OTHER).alias("_c"),
-        *[c for c in picked.columns if c != "_c"])
+        *[c for c in data.columns if c != "_c"])
 
 
 def category_breakdown(df: DataFrame, category: str, values: Sequence[str] = (), calc: str = "sum", top_n: int = 10,
                        decimal: str = ".") -> DataFrame:
-    """The top categories and "Other", calculated from the rows, with their share of the total in percent."""
-    data = df.select(col(category), *_numbers(df, values, decimal))
+    """The top categories and "Other", calculated from the rows, with their share of the total in percent.
+
+    Sums, counts and extremes of "Other" follow from one line per category, so the rows are read once;
+    averages, medians and distinct counts go back to the rows.
+    """
+    data = df.select(label(df, category).alias("_c"), *_numbers(df, values, decimal))
     metric = values[0] if values else None
-    top = top_categories(data, category, metric, calc, top_n)
-    table = _calculated(_mapped(data, category, top, [col(v) for v in values]), ["_c"], values, calc)
+    additive = not values or calc in FROM_PARTS
+    ranked = _calculated(data, ["_c"], values if additive else [metric], calc)
+    ranked = stable(ranked) if additive else ranked
+    top = top_categories(ranked, metric, top_n)
+    table = (_combined(_mapped(ranked, top), ["_c"], values, calc if values else "sum") if additive
+             else _calculated(_mapped(data, top), ["_c"], values, calc))
     shared = metric if metric and calc in ("sum", "count") else "_rows"
     share = F.bround(F.try_divide(col(shared), F.sum(col(shared)).over(W.partitionBy())) * 100, 1)
     title = f"Share % (of {metric})" if shared == metric else "Share % (of rows)"
@@ -146,11 +164,18 @@ def trend_by_category(df: DataFrame, date_column: str, period: str, category: st
                       calc: str = "sum", top_n: int = 10, day_first: bool = True, decimal: str = ".") -> DataFrame:
     """One row per period, gaps included, and one column per top category (and "Other")."""
     p = period_start(parse_date(*typed(df, date_column), day_first), period).alias("_p")
-    data = df.select(p, col(category), *_numbers(df, [metric] if metric else [], decimal))
-    top = top_categories(data, category, metric, calc, top_n)
+    values = [metric] if metric else []
+    data = df.select(p, label(df, category).alias("_c"), *_numbers(df, values, decimal))
+    if not metric or calc in FROM_PARTS:
+        parts = stable(_calculated(data, ["_p", "_c"], values, calc))    # the rows are read once
+        way = calc if metric else "sum"
+        top = top_categories(_combined(parts, ["_c"], values, way), metric, top_n)
+        small = _combined(_mapped(parts.where("_p is not null"), top), ["_p", "_c"], values, way)
+    else:
+        top = top_categories(_calculated(data, ["_c"], values, calc), metric, top_n)
+        small = _calculated(_mapped(data.where("_p is not null"), top), ["_p", "_c"], values, calc)
+    small = stable(small)
     heads = [r["_c"] for r in top.orderBy("_place").collect()]        # at most top_n
-    mapped = _mapped(data, category, top, ["_p", *([col(metric)] if metric else [])]).where("_p is not null")
-    small = _calculated(mapped, ["_p", "_c"], [metric] if metric else [], calc)
     columns = heads + ([] if C.OTHER in heads else [C.OTHER])
     wide = small.groupBy("_p").pivot("_c", columns).agg(F.first(col(metric) if metric else F.col("_rows")))
     full = _calendar(small, period).join(wide, "_p", "left").orderBy("_p")
