@@ -75,9 +75,10 @@ def _needed(view: View, n: Column, t: float) -> Column:
 
 
 def _cut(nodes: DataFrame, view: View, number: int, t: float, left: bool) -> DataFrame:
-    """(view, id, block, text, n, total, keep, g): the grams of every text as one view sees it.
+    """(view, id, block, n, total, keep, g): the grams of every text as one view sees it.
 
-    ``keep`` is how many of the rarest grams are joined on.
+    ``keep`` is how many of the rarest grams are joined on. The text itself stays behind, so that a long
+    text is not copied along with each of its grams.
     """
     s, n = F.col("_s"), F.length("_s")
     base = nodes.withColumn("_s", view.string).filter(n > 0)
@@ -92,14 +93,14 @@ def _cut(nodes: DataFrame, view: View, number: int, t: float, left: bool) -> Dat
     keep = F.greatest(total - _needed(view, n, t) + 1, F.lit(0)).cast("int") if prefixed else total
     grams = F.transform(F.sequence(F.lit(1), F.greatest(total, F.lit(1))),
                         lambda i: F.substring(padded, i, F.lit(width)))
-    return base.filter(total >= 1).select(F.lit(number).alias("view"), "id", "block", "text", n.alias("n"),
+    return base.filter(total >= 1).select(F.lit(number).alias("view"), "id", "block", n.alias("n"),
                                           total.alias("total"), keep.alias("keep"), F.explode(grams).alias("g"))
 
 
 def _numbered(nodes: DataFrame, views: list[View], t: float, left: bool) -> DataFrame:
     """The grams of all views, the repeats within a text numbered."""
     cut = reduce(DataFrame.unionAll, [_cut(nodes, v, i, t, left) for i, v in enumerate(views)])
-    node = ["view", "id", "block", "text", "n", "total", "keep"]
+    node = ["view", "id", "block", "n", "total", "keep"]
     counted = cut.groupBy(*node, "g").agg(F.count(F.lit(1)).alias("k"))
     return counted.select(*node, "g", F.explode(F.sequence(F.lit(1).cast("bigint"), "k")).alias("k")).select(
         *node, F.concat("g", F.col("k").cast("string")).alias("gram"))
@@ -107,16 +108,16 @@ def _numbered(nodes: DataFrame, views: list[View], t: float, left: bool) -> Data
 
 def _index(grams: DataFrame, frequency: DataFrame, side: str) -> DataFrame:
     """The rarest grams of each text, as many as needed, with their place."""
-    node = ["view", "id", "block", "text", "n", "total", "keep"]
+    node = ["view", "id", "block", "n", "total", "keep"]
     lists = grams.join(frequency, ["view", "gram"]).groupBy(*node).agg(
         F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("order"))
     placed = lists.select(*node, F.posexplode(F.slice("order", F.lit(1), F.col("keep"))).alias("place", "_g"))
     return placed.select("view", "block", F.col("_g.gram").alias("gram"),
-                         *[F.col(c).alias(f"{c}_{side}") for c in ("id", "text", "n", "total", "place")])
+                         *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "total", "place")])
 
 
 def _possible(view: View, t: float) -> Column:
-    """Whether a met pair can still reach the threshold, judged by lengths, places and edit distance."""
+    """Whether a met pair can still reach the threshold, judged by lengths and places."""
     na, nb = F.col("n_a"), F.col("n_b")
     # the gram they met on and the rarer side's remaining ones are all they can still share
     rest = F.least(F.col("total_a") - F.col("place_a"), F.col("total_b") - F.col("place_b"))
@@ -126,13 +127,17 @@ def _possible(view: View, t: float) -> Column:
         return fits if view.padded else fits & (mine <= other)
     shorter, longer = F.least(na, nb), F.greatest(na, nb)
     shared = longer + 1 - (na + nb) * 2 * (1 - t) if view.pairs else (na + nb) * t / 2
-    fits = (shorter >= longer * (t / (2 - t)) - _SLACK) & (
-        rest >= F.greatest(F.ceil(shared - _SLACK), F.lit(1)))
-    if view.edits:
-        # the built-in edit distance is never above the insert/delete distance: a cheap last test
-        limit = F.floor((na + nb) * (1 - t) + _SLACK).cast("int")
-        fits = fits & (F.call_function("levenshtein", _seen(view, "text_a"), _seen(view, "text_b"), limit) >= 0)
-    return fits
+    return (shorter >= longer * (t / (2 - t)) - _SLACK) & (rest >= F.greatest(F.ceil(shared - _SLACK), F.lit(1)))
+
+
+def _close(view: View, t: float) -> Column:
+    """Whether the strings are near enough. The built-in edit distance is never above the insert/delete
+    distance and stops at its limit: a cheap last test before scoring."""
+    if not view.edits:
+        return F.lit(True)
+    a, b = _seen(view, "text_a"), _seen(view, "text_b")
+    limit = F.floor((F.length(a) + F.length(b)) * (1 - t) + _SLACK).cast("int")
+    return F.call_function("levenshtein", a, b, limit) >= 0
 
 
 def _seen(view: View, column: str) -> Column:
@@ -164,9 +169,12 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: int, method: str
     if ordered:
         met = met.filter("id_a < id_b")
     hopeful = reduce(lambda test, i: test.when(F.col("view") == i, _possible(views[i], t)), range(len(views)), F)
-    pairs = met.filter(hopeful).select("id_a", "text_a", "id_b", "text_b")
+    pairs = met.filter(hopeful).groupBy("id_a", "id_b").agg(F.collect_set("view").alias("views"))
+    pairs = (pairs.join(left.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
+             .join(right.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b"))
+    near = reduce(lambda x, y: x | y, [F.array_contains("views", i) & _close(v, t) for i, v in enumerate(views)])
     # a fixed number of partitions: scoring is heavier than its bytes suggest, so they must not be merged
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    unique = pairs.repartition(tasks, "id_a", "id_b").dropDuplicates(["id_a", "id_b"])
-    scored = unique.select("id_a", "id_b", similarity(F.col("text_a"), F.col("text_b"), method, compact).alias("score"))
+    score = similarity(F.col("text_a"), F.col("text_b"), method, compact).alias("score")
+    scored = pairs.filter(near).repartition(tasks, "id_a", "id_b").select("id_a", "id_b", score)
     return scored.filter(F.col("score") >= threshold)
