@@ -157,7 +157,7 @@ def replace_values(c: Column, mapping: dict) -> Column:
 
 def match_text(c: Column, dtype: T.DataType, ignore_words: Sequence[str] = ()) -> Column:
     """Lower case, western digits, no punctuation, no filler words, single spaces."""
-    out = western_digits(norm_text(c, dtype, ignore_case=True))
+    out = let(norm_text(c, dtype, ignore_case=True), western_digits)
     out = F.regexp_replace(out, rf"(?U)(?!{C.SPACE})[^\p{{L}}\p{{N}}_]", " ")
     words = [str(w).strip().lower() for w in ignore_words if str(w).strip()]
     if words:
