@@ -157,8 +157,8 @@ def replace_values(c: Column, mapping: dict) -> Column:
 
 def match_text(c: Column, dtype: T.DataType, ignore_words: Sequence[str] = ()) -> Column:
     """Lower case, western digits, no punctuation, no filler words, single spaces."""
-    out = let(norm_text(c, dtype, ignore_case=True), western_digits)
-    out = F.regexp_replace(out, rf"(?U)(?!{C.SPACE})[^\p{{L}}\p{{N}}_]", " ")
+    out = F.translate(norm_text(c, dtype, ignore_case=True), C.EASTERN_DIGITS, C.WESTERN_DIGITS)
+    out = F.regexp_replace(out, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]", " ")
     words = [str(w).strip().lower() for w in ignore_words if str(w).strip()]
     if words:
         out = F.regexp_replace(out, r"(?U)\b(?:" + "|".join(re.escape(w) for w in words) + r")\b", " ")
