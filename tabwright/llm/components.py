@@ -1,0 +1,38 @@
+"""Connected components of a table of links, as rounds of joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import saved
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """``node`` and ``root`` (the smallest node it can reach) for every node of ``links`` (columns ``a``, ``b``).
+
+    Rounds of large-star (larger neighbours hang on the smallest neighbour) and small-star (the smaller ones too)
+    turn every component into a star, in a number of rounds that grows with the logarithm of its size. A
+    neighbourhood is only ever reduced to its minimum, so nothing gathers it, and hot nodes of the joins can be
+    split. Every round is a written table.
+    """
+    def smallest(pairs):
+        return pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+
+    edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    for _ in range(most_rounds):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(smallest(both), F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # every row now points from a node to a smaller one
+        large = saved(large.where("u <> v").distinct(), "links")
+        met = large.join(smallest(large), F.col("u") == F.col("k"))
+        small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        new = saved(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        # a star: no node both has a parent and is one
+        if new.select("u").join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count() == 0:
+            roots = new.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("root"))
+            if roots.where("n > 1").limit(1).count() == 0:
+                found = roots.select(F.col("u").alias("node"), "root")
+                return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+        edges = new
+    raise RuntimeError("the components did not settle")
