@@ -92,6 +92,15 @@ def _distinct(spark, folder):
     return distinct_values(customer_restated(spark, folder), "segment")
 
 
+def _date_forms(spark, folder):
+    """Order dates written in seven more forms, with a time of day in some; the month alone in the last."""
+    o = read(spark, folder, "orders")
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.expr("make_dt_interval(0, cast(o_orderkey % 24 as int), cast(o_orderkey % 60 as int), 0)")
+    forms = ["dd/MM/yyyy h:mm a", "yyyyMMdd", "MMM-dd-yyyy", "yyyy-MMM-dd", "EEEE, d MMMM yyyy", "MMMM d, yyyy hh:mm:ss a", "MMMM yyyy"]
+    text = F.element_at(F.array(*[F.date_format(at, f) for f in forms]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return o.select("o_orderkey", parse_date(text, TEXT).cast("string").alias("moment"))
+
+
 QUERIES = {
     "parse_numbers": (_numbers, """SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 3 THEN -o_totalprice ELSE o_totalprice END
         AS value FROM orders"""),
@@ -102,6 +111,10 @@ QUERIES = {
     "parse_dates_month_first": (_dates(False), """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 AND day(o_orderdate) <= 12
         THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) ELSE CAST(o_orderdate AS DATE) END AS day
         FROM orders"""),
+    "parse_date_forms": (_date_forms, """SELECT o_orderkey, strftime(CASE o_orderkey % 7 WHEN 6 THEN date_trunc('month', o_orderdate)
+        WHEN 0 THEN o_orderdate + to_minutes(o_orderkey % 24 * 60 + o_orderkey % 60)
+        WHEN 5 THEN o_orderdate + to_minutes(o_orderkey % 24 * 60 + o_orderkey % 60)
+        ELSE date_trunc('day', o_orderdate) END, '%Y-%m-%d %H:%M:%S') AS moment FROM orders"""),
     "tidy_spaces": (_tidy, f"""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '{INVISIBLE}', '', 'g'),
         '{SPACES}', ' ', 'g')) AS t FROM documents) SELECT doc_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n FROM t"""),
     "match_text": (_match, rf"""WITH a AS (SELECT doc_id, regexp_replace(lower(regexp_replace(text, '^{SPACES}|{SPACES}$', '',

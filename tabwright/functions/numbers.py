@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from . import constants as C
 from .text import is_number, is_text, let, strip, western_digits
 
-_CURRENCY_OR_SPACE = (r"(?iU)\b(?:" + "|".join(C.CURRENCY_WORDS) + r")\b|" + C.CURRENCY_DINAR
-             + "|[" + C.CURRENCY_SYMBOLS + "]|" + C.SPACE + "+")
 _BODY = {".": r"(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?",
          ",": r"(?:[0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+)(?:,[0-9]+)?"}
 
@@ -30,7 +28,7 @@ def parse_number(c: Column, dtype: T.DataType, decimal: str = ".") -> Column:
     # most cells are bare digits: a short test settles them, the rest takes the long way
     bare = F.when(c.rlike(r"^[0-9]{1,15}\z" if decimal == "," else r"^[0-9]{1,15}(?:\.[0-9]+)?\z"),
                   c.try_cast("double"))
-    known = F.when(c.rlike(r"[^0-9.,()%+-]"), F.regexp_replace(western_digits(c), _CURRENCY_OR_SPACE, "")).otherwise(c)
+    known = F.when(c.rlike(r"[^0-9.,()%+-]"), F.regexp_replace(western_digits(c), C.CURRENCY_OR_SPACE, "")).otherwise(c)
     return F.coalesce(bare, let(known, lambda t: _signed_number(t, decimal)))
 
 

@@ -167,4 +167,4 @@ def match_text(c: Column, dtype: T.DataType, ignore_words: Sequence[str] = ()) -
 
 def match_text_of(df: DataFrame, names: Sequence[str], ignore_words: Sequence[str] = ()) -> Column:
     """The match texts of several columns joined by a space."""
-    return F.trim(F.concat_ws(" ", *[match_text(*typed(df, n), ignore_words) for n in names]))
+    return squeeze(F.concat_ws(" ", *[match_text(*typed(df, n), ignore_words) for n in names]))

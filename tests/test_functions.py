@@ -39,7 +39,11 @@ def test_dates(spark):
              "31/31/2026": None, "03/25/2026": day(2026, 3, 25), "2026/3/1": day(2026, 3, 1), "1.3.2026": day(2026, 3, 1),
              "2026-03-01 14:05": day(2026, 3, 1, 14, 5), "2026-03-01T14:05:06Z": day(2026, 3, 1, 14, 5, 6), "N/A": None,
              "٠١/٠٣/٢٠٢٦": day(2026, 3, 1), "1-Mar-26": day(2026, 3, 1), "12 Marchy 2026": None, "": None, None: None,
-             " 2026-03-01 ": day(2026, 3, 1), "19999": None, "30 Feb 2026": None}
+             " 2026-03-01 ": day(2026, 3, 1), "19999": None, "30 Feb 2026": None,
+             "01/03/2026 5:30 PM": day(2026, 3, 1, 17, 30), "01/03/2026 12:05 am": day(2026, 3, 1, 0, 5), "2026-03-01 12:00 p.m.": day(2026, 3, 1, 12),
+             "01/03/2026 13:00 PM": None, "20260301": day(2026, 3, 1), "20261301": None, "Mar-01-2026": day(2026, 3, 1),
+             "2026-Mar-01": day(2026, 3, 1), "Sunday, 1 March 2026": day(2026, 3, 1), "Sun 01/03/2026": day(2026, 3, 1), "March 2026": day(2026, 3, 1),
+             "Mar-2026": day(2026, 3, 1), "2026-03": day(2026, 3, 1), "03/2026": day(2026, 3, 1), "13/2026": None, "Monk 1 March 2026": None}
     assert dict(zip(forms, one(spark, forms, lambda c: parse_date(c, TEXT)))) == forms
     assert one(spark, ["01/03/2026", "2026-01-03"], lambda c: parse_date(c, TEXT, False)) == [day(2026, 1, 3)] * 2
     assert one(spark, [46082.5, 5.0], lambda c: parse_date(c, T.DoubleType()), "double") == [day(2026, 3, 1, 12), None]
