@@ -10,30 +10,19 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col
 from .running import running_count
-from .stable import at_most, stable
 
 
-IN_MEMORY = 1_000_000
-
-
-def quantiles(df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float], weight: str | None = None,
-              in_memory: int = IN_MEMORY) -> DataFrame:
+def quantiles(df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float],
+              weight: str | None = None) -> DataFrame:
     """One row per group: the group columns, ``count`` and ``quantiles`` (linear interpolation).
 
-    Equal values are counted first. If at most ``in_memory`` counted values remain over all groups, Spark's
-    own percentile takes them; beyond that each value's rank comes from `running_count`, which spreads any
-    group over all tasks.
+    Equal values are counted first; each value's rank comes from `running_count`, which spreads any group over
+    all tasks.
     """
     keys = [col(g) for g in groups]
     n = F.sum(col(weight)) if weight else F.count(F.lit(1))
     counted = (df.filter(col(value).isNotNull()).groupBy(*keys, col(value).cast("double").alias("_v"))
                .agg(n.alias("_n")))
-    if in_memory:
-        counted = stable(counted)
-        if at_most(counted, in_memory):
-            points = F.array(*[F.lit(float(s)) for s in shares])
-            return counted.groupBy(*keys).agg(F.sum("_n").alias("count"),
-                                              F.percentile("_v", points, F.col("_n")).alias("quantiles"))
     ranked = running_count(counted, groups, "_v", "_n")
     first, last = F.col("_before"), F.col("_before") + F.col("_n")
     picks, lerp, wanted = [], [], []

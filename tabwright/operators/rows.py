@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.text import col, is_date, norm_text, typed, value_text
-from .stable import stable
+from .stable import broadcast_if_small, stable
 
 ROW = "_row"
 
@@ -18,18 +18,23 @@ ROW = "_row"
 def with_row_number(df: DataFrame, order_by: Sequence[str | Column] | None = None, name: str = ROW) -> DataFrame:
     """Add a dense 0-based row number.
 
-    The frame is range-sorted by ``order_by`` (or kept in file order), fixed in the checkpoint folder,
-    and each partition's start is the summed size of those before it. No task sees more than its own
-    partition; only one size per partition is broadcast.
+    The frame is range-sorted by ``order_by``, or kept in the order of its files (by path, then place in the file;
+    frames without files keep the order of their partitions), and written to the checkpoint folder. The rows that a task
+    read from one piece of a file lie side by side, so a row's number is its place in the piece plus the rows of earlier
+    pieces. No task sees more than its own rows.
     """
-    placed = df.orderBy(*order_by) if order_by else df
-    placed = stable(placed.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33).alias("_part")
-    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
-    numbered = placed.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")
-    position = F.col("_start") + F.col("_at") - F.shiftleft("_part", 33)
+    if order_by:
+        placed = df.orderBy(*order_by).withColumns({"_file": F.lit(""), "_block": F.lit(0).cast("bigint")})
+    else:
+        placed = df.withColumns({"_file": F.input_file_name(), "_block": F.input_file_block_start()})
+    placed = stable(placed.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    piece = ["_file", "_block", "_part"]
+    sizes = placed.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))
+    # one row per piece of a file, whatever the number of rows
+    before = F.sum("_n").over(W.orderBy(*piece).rowsBetween(W.unboundedPreceding, -1))
+    starts = stable(sizes.select(*piece, "_low", F.coalesce(before, F.lit(0)).alias("_start")))
+    numbered = placed.join(broadcast_if_small(starts), piece)
+    position = F.col("_start") + F.col("_at") - F.col("_low")
     return numbered.select(*[col(c) for c in df.columns if c != name], position.alias(name))
 
 

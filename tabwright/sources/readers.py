@@ -35,19 +35,30 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return max(SEPARATORS, key=bare.count)
 
 
+def profile_text(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding and whether line breaks occur inside quotes, from one distributed pass.
+
+    UTF-8 when every line is valid UTF-8, else Arabic Windows. A line with an odd number of quotes opens or closes
+    a cell that goes on over its end.
+    """
+    odd = F.regexp_count("value", F.lit('"')) % 2 == 1
+    seen = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8("value")).alias("broken"), F.bool_or(odd).alias("odd")).first()
+    return ARABIC_WINDOWS if seen["broken"] else "UTF-8", bool(seen["odd"])
+
+
 def find_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8 (one distributed pass), else Arabic Windows."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    return ARABIC_WINDOWS if broken else "UTF-8"
+    return profile_text(spark, path)[0]
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-                   multi_line: bool = False, infer: bool = True) -> DataFrame:
+                   multi_line: bool | None = None, infer: bool = True) -> DataFrame:
     """CSV, TXT or TSV as text first, so codes keep their leading zeros; then number columns are typed.
 
-    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
+    ``multi_line`` allows line breaks inside quotes, at the price of one task per file; None: where they occur.
     """
-    encoding = encoding or find_encoding(spark, path)
+    if encoding is None or multi_line is None:
+        found, broken_lines = profile_text(spark, path)
+        encoding, multi_line = encoding or found, broken_lines if multi_line is None else multi_line
     arabic = encoding == ARABIC_WINDOWS
     df = spark.read.csv(path, header=True, inferSchema=False, sep=sep or sniff_separator(spark, path), quote='"',
                         escape='"', multiLine=multi_line, encoding="ISO-8859-1" if arabic else encoding)

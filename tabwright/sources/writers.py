@@ -37,13 +37,28 @@ def cleaned_path(source: str, folder: str) -> str:
     return f"{folder.rstrip('/')}/{name}_cleaned"
 
 
+def _apart(names: list[str]) -> list[str]:
+    """The names with a number behind those that are taken already, whatever their case."""
+    out: list[str] = []
+    for n in names:
+        made, i = n, 2
+        while made.lower() in (o.lower() for o in out):
+            made, i = f"{n}_{i}", i + 1
+        out.append(made)
+    return out
+
+
 def write_results(results: Mapping[str, DataFrame], base: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write every named result to its own folder under ``base``, whole; returns the paths by name."""
+    """Write every named result to its own folder under ``base``, whole; returns the paths by name.
+
+    Names that become equal once unsafe characters are replaced get a number: ``a b`` and ``a_b`` go to ``a_b``
+    and ``a_b_2``.
+    """
     out = {}
-    for name, df in results.items():
-        safe = re.sub(r"[\[\]:*?/\\ ]", "_", name) or "Sheet"
+    folders = _apart([re.sub(r"[\[\]:*?/\\ ]", "_", name) or "Sheet" for name in results])
+    for (name, df), safe in zip(results.items(), folders):
         if fmt == "parquet":    # column names may hold characters that some readers refuse
-            df = df.toDF(*[re.sub(r"[ ,;{}()\n\t=]", "_", c) for c in df.columns])
+            df = df.toDF(*_apart([re.sub(r"[ ,;{}()\n\t=]", "_", c) for c in df.columns]))
         out[name] = save_table(df, f"{base.rstrip('/')}/{safe}", fmt)
     return out
 
