@@ -230,7 +230,7 @@ def _fuzzy_matches(spark, folder):
 
 def _fuzzy_rounds(spark, folder):
     """The same pairs by rounds alone, without the finishing step."""
-    return _fuzzy(spark, folder, finish_below=0).pairs
+    return _fuzzy(spark, folder, most_in_task=0).pairs
 
 
 def _fuzzy_diffs(spark, folder):

@@ -11,60 +11,70 @@ Each round takes, all over the cluster at once, pairs that no other pair can com
 * leaders: two groups whose next rows are each other's first choice. They pair up as long as neither
   side's next row loses to a rival group.
 
-A round always takes at least the first remaining pair, so rounds end. When few pairs and rows remain
-(both counted), one task finishes them in order.
+A round always takes at least the first remaining pair, so rounds end. But chains of ties give a round only one
+pair each, so before every round the live pairs are split into connected components of groups that compete: what one
+component takes never touches another. Components that fit in a task are finished in order, all of them side by side;
+only larger ones go through the round, which breaks them up further.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
 from .running import running_count
-from .stable import at_most, stable
+from .stable import stable
 
 PAIRS = "row_a bigint, row_b bigint, score int"
+#: Pairs and rows of one component that a task holds in memory.
+MOST_IN_TASK = 200_000
 
 
-def assign(edges: DataFrame, members_a: DataFrame, members_b: DataFrame, finish_below: int = 20_000) -> DataFrame:
+def assign(edges: DataFrame, members_a: DataFrame, members_b: DataFrame, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     """(row_a, row_b, score) from edges (u, v, score) between groups and their members (u, row) / (v, row).
 
-    ``finish_below`` bounds both the edges and the rows that one task may finish; 0 uses rounds only.
+    ``most_in_task`` bounds the pairs and rows of a component that one task finishes; it does not change the result.
     """
-    def ranked(members: DataFrame, g: str, other: str) -> DataFrame:
+    def ranked(members: DataFrame, g: str) -> DataFrame:
         used = members.join(edges.select(g).distinct(), g, "left_semi")
         return stable(running_count(used, [g], "row").select(g, "row", F.col("_before").alias("at"),
                                                              F.col("_total").alias("size")))
 
     edges = stable(edges)
-    if finish_below and at_most(edges, finish_below):
-        few_a = stable(members_a.join(edges.select("u").distinct(), "u", "left_semi"))
-        few_b = stable(members_b.join(edges.select("v").distinct(), "v", "left_semi"))
-        if at_most(few_a, finish_below) and at_most(few_b, finish_below):
-            return _finish(edges, few_a.select("u", "row"), few_b.select("v", "row"))
-    rows_a, rows_b = ranked(members_a, "u", "v"), ranked(members_b, "v", "u")
+    rows_a, rows_b = ranked(members_a, "u"), ranked(members_b, "v")
     state_a = rows_a.where("at = 0").select("u", F.lit(0).cast("bigint").alias("off_u"), F.col("size").alias("size_u"))
     state_b = rows_b.where("at = 0").select("v", F.lit(0).cast("bigint").alias("off_v"), F.col("size").alias("size_v"))
-    done: DataFrame | None = None
+    done: list[DataFrame] = []
     while True:
         live = stable(edges.join(state_a, "u").join(state_b, "v").where("off_u < size_u and off_v < size_v"))
         if live.isEmpty():
             break
-        if finish_below and at_most(live, finish_below):
-            left_a = rows_a.join(live.select("u", "off_u").distinct(), "u").where("at >= off_u").select("u", "row")
-            left_b = rows_b.join(live.select("v", "off_v").distinct(), "v").where("at >= off_v").select("v", "row")
-            if at_most(left_a, finish_below) and at_most(left_b, finish_below):
-                last = _finish(live, left_a, left_b)
-                return last if done is None else done.unionAll(last)
-        taken = stable(_round(live, rows_a, rows_b))
-        picked = taken.select("row_a", "row_b", "score")
-        done = picked if done is None else stable(done.unionAll(picked))
+        # nodes of both sides in one numbering
+        found = components(live.select((F.col("u") * 2).alias("a"), (F.col("v") * 2 + 1).alias("b")))
+        roots = found.where("node % 2 = 0").select(F.expr("node div 2").alias("u"), "root")
+        live = stable(live.join(roots, "u"))
+        left_a = rows_a.join(live.select("u", "off_u", "root").distinct(), "u").where("at >= off_u").select("root", "u", "row")
+        left_b = rows_b.join(live.select("v", "off_v", "root").distinct(), "v").where("at >= off_v").select("root", "v", "row")
+        weights = reduce(DataFrame.unionAll, [x.groupBy("root").agg(F.count(F.lit(1)).alias("n")) for x in (live, left_a, left_b)])
+        fitting = stable(weights.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") <= most_in_task))
+        # many components share a task, as far as it can hold them
+        tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                    2 * (fitting.agg(F.sum("n")).first()[0] or 0) // max(1, most_in_task))
+        done.append(_finish(*[x.join(fitting, "root", "left_semi") for x in (live, left_a, left_b)], tasks))
+        large = stable(live.join(fitting, "root", "left_anti").drop("root"))
+        if large.isEmpty():
+            break
+        taken = stable(_round(large, rows_a, rows_b))
+        done.append(taken.select("row_a", "row_b", "score"))
         state_a = _advance(state_a, taken, "u")
         state_b = _advance(state_b, taken, "v")
-        edges = live.select("u", "v", "score")
+        edges = large.select("u", "v", "score")
     empty = edges.sparkSession.createDataFrame([], PAIRS)
-    return empty if done is None else done
+    return reduce(DataFrame.unionAll, done, empty)
 
 
 def _advance(state: DataFrame, taken: DataFrame, g: str) -> DataFrame:
@@ -126,12 +136,12 @@ def _merged(groups: DataFrame, rows: DataFrame, g: str) -> DataFrame:
         "_k", F.col("_before")).drop("_before", "_total")
 
 
-def _finish(live: DataFrame, left_a: DataFrame, left_b: DataFrame) -> DataFrame:
-    """The few remaining pairs in order, in one task (sizes were checked by the caller)."""
+def _finish(live: DataFrame, left_a: DataFrame, left_b: DataFrame, tasks: int) -> DataFrame:
+    """The pairs of whole components in order, each in one task (their sizes were checked by the caller)."""
     none = F.lit(None).cast("bigint")
-    records = (live.select("u", "v", none.alias("row"), F.col("score").cast("int").alias("score"))
-               .unionAll(left_a.select("u", none.alias("v"), "row", F.lit(0).alias("score")))
-               .unionAll(left_b.select(none.alias("u"), "v", "row", F.lit(0).alias("score"))))
+    records = (live.select("root", "u", "v", none.alias("row"), F.col("score").cast("int").alias("score"))
+               .unionAll(left_a.select("root", "u", none.alias("v"), "row", F.lit(0).alias("score")))
+               .unionAll(left_b.select("root", none.alias("u"), "v", "row", F.lit(0).alias("score"))))
 
     def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
         is_edge = pdf.row.isna()
@@ -149,5 +159,4 @@ def _finish(live: DataFrame, left_a: DataFrame, left_b: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["row_a", "row_b", "score"]).astype(
             {"row_a": "int64", "row_b": "int64", "score": "int32"})
 
-    one = records.withColumn("_all", F.lit(1))
-    return one.groupBy("_all").applyInPandas(in_order, PAIRS)
+    return records.groupBy(F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task")).applyInPandas(in_order, PAIRS)

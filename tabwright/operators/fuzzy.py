@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.equality import values_equal
 from ..functions.text import col, match_text_of, norm_text, typed, value_text
-from .assign import assign
+from .assign import MOST_IN_TASK, assign
 from .candidates import similar_texts
 from .compare import _difference_rows, common_columns
 from .rows import ROW, data_columns, ensure_rows
@@ -32,8 +32,9 @@ def _groups(side: DataFrame) -> DataFrame:
     return stable(made.withColumn("id", F.monotonically_increasing_id()))
 
 
-# below so many possible pairs of texts the search for the closest one takes a single step
-FEW_PAIRS = 2_000_000
+# scores down to which the closest text of an unmatched one is searched, step by step; letter pairs narrow the search
+# down to the first, and only what found nothing goes on to the next
+LEVELS = (90, 76, 60, 45, 30, 1)
 
 
 class FuzzyComparison:
@@ -42,15 +43,16 @@ class FuzzyComparison:
     Only rows that agree on the ``must_match`` columns are compared. ``pairs`` are the matched row numbers;
     ``matches``, ``diffs``, ``only_a``, ``only_b`` and ``stats`` are built when asked for. Rows left over
     come with the closest text of the other table, used or not. It is found by lowering the threshold in
-    steps for the texts that still lack one; ``closest_from`` ends that search at a score (0, the default,
-    searches to the end and gets expensive for texts that resemble nothing).
+    steps for the texts that still lack one; ``closest_from`` ends that search at a score. 76 is the last
+    that letter pairs narrow down. 0, the default, finds the closest text of every row, however little it resembles: what
+    resembles nothing is then compared with all of its block that shares a letter, so large tables should set a bound.
     """
 
     def __init__(self, a: DataFrame, b: DataFrame, key_a: Sequence[str], key_b: Sequence[str],
                  compare_columns: Mapping[str, str] | None = None, threshold: int = 85,
                  method: str = "token_sort", must_match: Mapping[str, str] | None = None,
                  ignore_words: Sequence[str] = (), review_below: int = 95, tolerance: float = 0.0,
-                 ignore_case: bool = True, closest_from: int = 0, finish_below: int = 20_000):
+                 ignore_case: bool = True, closest_from: int = 0, most_in_task: int = MOST_IN_TASK):
         must = dict(must_match or {})
         self.a, self.b, self.key_a, self.key_b = ensure_rows(a), ensure_rows(b), list(key_a), list(key_b)
         if not compare_columns:
@@ -66,7 +68,7 @@ class FuzzyComparison:
         self.edges = stable(similar_texts(self.nodes_a, self.nodes_b, threshold, method))
         self.pairs = stable(assign(self.edges.select(F.col("id_a").alias("u"), F.col("id_b").alias("v"), "score"),
                                    self.members_a.select(F.col("id").alias("u"), "row"),
-                                   self.members_b.select(F.col("id").alias("v"), "row"), finish_below))
+                                   self.members_b.select(F.col("id").alias("v"), "row"), most_in_task))
 
     @cached_property
     def _joined(self) -> DataFrame:
@@ -175,11 +177,8 @@ def _unmatched(df: DataFrame, members: DataFrame, used: DataFrame, nodes: DataFr
                 .select("id", F.col("_top.score").alias("closest_pct"), (-F.col("_top._neg")).alias("_row_b")))
 
     found = best(edges.join(wanted.withColumnRenamed("id", mine), mine, "left_semi"))
-    sizes = open_nodes.groupBy("block").agg(F.count(F.lit(1)).alias("_m")).join(
-        others.groupBy("block").agg(F.count(F.lit(1)).alias("_n")), "block")
-    few = (sizes.agg(F.sum(F.col("_m").cast("double") * F.col("_n"))).first()[0] or 0) <= FEW_PAIRS
-    for level in (1,) if few and floor <= 1 else (75, 55, 1):
-        if level >= threshold or level < floor:
+    for level in sorted({max(level, floor, 1) for level in LEVELS}, reverse=True):
+        if level >= threshold:
             continue
         found = stable(found)
         open_nodes = stable(open_nodes.join(found, "id", "left_anti"))
