@@ -55,8 +55,7 @@ def _formula_summary(spark, folder):
 
 
 def _formula_rows(spark, folder):
-    m = _checks(spark, folder).mismatches.where(F.col("check").isin("price", "price pct"))
-    return m.select("check", "row_in_file", "l_partkey", "value", "expected", "difference", "difference_pct")
+    return _checks(spark, folder).mismatches.select("check", "row_in_file", "l_partkey", "value", "expected", "difference", "difference_pct")
 
 
 _PRICES = "FROM lineitem JOIN part ON l_partkey = p_partkey"
@@ -117,6 +116,12 @@ def _clean_orders(spark, folder):
     return c.data.select("o_orderkey", F.col("price_text").alias("price"), F.col("date_text").cast("date").alias("day"))
 
 
+def _clean_replaced(spark, folder):
+    """Replacements, then letter case, inside cleaning."""
+    cfg = {"replace": {"segment": {"Building": "Construction", " MACHINERY": None}}, "fix_case": {"segment": "upper"}, "unify": False}
+    return clean_table(customer_dirty(spark, folder), cfg).data.select("customer_no", "segment")
+
+
 def _clean_merge(spark, folder):
     made = clean_table(_dirty(spark, folder), {"remove_dups": False, "merge": {
         "key": ["nation"], "how": {"balance": "sum", "segment": "join", "name": "last", "customer_no": "max"}}})
@@ -269,7 +274,13 @@ QUERIES = {
         CAST(l_partkey AS VARCHAR) AS l_partkey, l_extendedprice AS value, round_even(e, 4) AS expected,
         round_even(l_extendedprice - e, 4) AS difference, round_even((l_extendedprice - e) / e * 100, 2) AS difference_pct
         FROM (SELECT *, l_quantity * p_retailprice AS e {_PRICES}), (VALUES ('price'), ('price pct')) AS v(c)
-        WHERE CASE WHEN c = 'price' THEN abs(l_extendedprice - e) > 5 ELSE abs(l_extendedprice - e) > greatest(0.01, e / 2) END"""),
+        WHERE CASE WHEN c = 'price' THEN abs(l_extendedprice - e) > 5 ELSE abs(l_extendedprice - e) > greatest(0.01, e / 2) END
+        UNION ALL SELECT 'unit', l_orderkey * 8 + l_linenumber + 2, CAST(l_partkey AS VARCHAR), v, round_even(e, 4), round_even(v - e, 4),
+        round_even((v - e) / e * 100, 2) FROM (SELECT *, l_extendedprice / (l_quantity - 1) AS v, 100 * l_quantity AS e {_PRICES}
+        WHERE l_quantity <> 1) WHERE abs(v - e) > 0.01
+        UNION ALL SELECT 'net', l_orderkey * 8 + l_linenumber + 2, CAST(l_partkey AS VARCHAR), v, round_even(e, 4), round_even(v - e, 4),
+        round_even((v - e) / e * 100, 2) FROM (SELECT *, l_extendedprice - l_extendedprice * l_discount AS v,
+        l_extendedprice * (1 - l_discount) AS e {_PRICES}) WHERE abs(v - e) > 0.01"""),
     "clean_table": (_clean_data, """SELECT c_custkey AS customer_no, c_name AS name, CASE WHEN c_custkey % 10 <> 0 THEN
         c_mktsegment END AS segment, c_acctbal AS balance, c_nationkey AS nation FROM customer"""),
     "cleaning_log": (_clean_log, _LOG),
@@ -324,9 +335,29 @@ QUERIES = {
         UNION ALL SELECT 'Identical duplicate rows', 0 UNION ALL SELECT 'Hidden duplicates (spaces/case)', 0
         UNION ALL SELECT 'Problems to fix', count(*) FROM q WHERE level = 'Fix'
         UNION ALL SELECT 'Things to check', count(*) FROM q WHERE level = 'Check'"""),
-    "quality_text_dates": (_quality_orders, None),
+    "quality_text_dates": (_quality_orders, f"""WITH t AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d,
+          CASE WHEN o_orderkey % 6 = 3 THEN -o_totalprice ELSE o_totalprice END AS x FROM orders),
+        e AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM t),
+        i AS (SELECT 'price_text' AS column_name, 'number_text' AS code, count(*) AS cells FROM t
+        UNION ALL SELECT 'price_text', 'outlier', count(*) FILTER (WHERE x < q1 - 3 * (q3 - q1) OR x > q3 + 3 * (q3 - q1)) FROM t, e
+        UNION ALL SELECT 'price_text', 'negative', CASE WHEN count(*) FILTER (WHERE x < 0) <= greatest(1, 0.05 * count(*))
+          THEN count(*) FILTER (WHERE x < 0) ELSE 0 END FROM t
+        UNION ALL SELECT 'date_text', 'date_text', count(*) FROM t UNION ALL SELECT 'date_text', 'mixed_dates', count(*) FROM t
+        UNION ALL SELECT 'date_text', 'ambiguous', count(*) FILTER (WHERE k % 4 = 1 AND day(d) <= 12 AND day(d) <> month(d)) FROM t
+        UNION ALL SELECT 'date_text', 'future', count(*) FILTER (WHERE d > DATE '{DAY}') FROM t)
+        SELECT * FROM i WHERE cells > 0"""),
     "quality_outliers": (_outliers, """WITH t AS (SELECT round(sum(l_extendedprice) ** 3 / 1e9, 2) AS c FROM lineitem
         GROUP BY l_orderkey), x AS (SELECT quantile_cont(c, 0.25) AS q1, quantile_cont(c, 0.75) AS q3 FROM t)
         SELECT 'outlier' AS code, count(*) AS cells FROM t, x WHERE c < q1 - 3 * (q3 - q1) OR c > q3 + 3 * (q3 - q1)"""),
-    "check_task_summary": (_check_task, None),
+    "check_task_summary": (_check_task, f"""WITH q AS ({_ISSUES})
+        SELECT 'Problems to fix' AS item, CAST(count(*) FILTER (WHERE level = 'Fix') AS VARCHAR) AS value FROM q
+        UNION ALL SELECT 'Things to check', CAST(count(*) FILTER (WHERE level = 'Check') AS VARCHAR) FROM q
+        UNION ALL SELECT 'Possible typos (similar spellings)', '0'
+        UNION ALL SELECT 'Cells cleaning would change', CAST(count(*) + count(*) FILTER (WHERE c_custkey % 10 < 4) AS VARCHAR) FROM customer
+        UNION ALL SELECT 'Fix-level problems left after cleaning', '0'
+        UNION ALL SELECT 'Data problems (rules / unreadable values)', CAST(count(*) FILTER (WHERE c_acctbal < 0)
+          + count(*) FILTER (WHERE c_custkey % 10 = 0) + count(*) FILTER (WHERE c_nationkey >= 20) AS VARCHAR) FROM customer"""),
+    "clean_with_replacements": (_clean_replaced, """SELECT c_custkey AS customer_no, CASE WHEN c_custkey % 10 = 0 THEN NULL
+        WHEN lower(c_mktsegment) = 'building' THEN 'CONSTRUCTION' WHEN lower(c_mktsegment) = 'machinery' THEN NULL
+        ELSE upper(c_mktsegment) END AS segment FROM customer"""),
 }

@@ -30,11 +30,17 @@ def _json(spark, folder):
 
 
 def _parquet(spark, folder):
+    """Two results written and read back whole, and the log of the run."""
     base = _folder(spark)
     paths = write_results({"Top orders": read(spark, folder, "orders"), "Lines": read(spark, folder, "lineitem")}, base)
-    append_run_log(spark, base + "/log", {"task": "write", "output": paths["Lines"], "status": "ok", "seconds": 1.0})
-    return load_table(spark, paths["Lines"], "parquet", order_by=["l_orderkey"]).groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("n"), F.max("_row").alias("last_row"), F.sum("l_quantity").alias("quantity")).drop("last_row")
+    append_run_log(spark, base + "/log", {"task": "write", "status": "ok", "seconds": 1.5})
+    lines = load_table(spark, paths["Lines"], "parquet", order_by=["l_orderkey", "l_linenumber"]).groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_row").alias("last_row"), F.sum("l_quantity").alias("amount"))
+    orders = load_table(spark, paths["Top orders"], "parquet", order_by=["o_orderkey"]).groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_row").alias("last_row"), F.round(F.sum("o_totalprice"), 2).alias("amount"))
+    log = spark.read.parquet(base + "/log").select(F.concat_ws(" ", "task", "status").alias("item"), F.lit(1).cast("bigint").alias("n"),
+                                                   F.lit(0).cast("bigint").alias("last_row"), F.col("seconds").alias("amount"))
+    return lines.withColumnRenamed("l_returnflag", "item").unionAll(orders.withColumnRenamed("o_orderstatus", "item")).unionAll(log)
 
 
 def _stream_problems(spark, folder):
@@ -60,8 +66,11 @@ QUERIES = {
         WHEN 4 THEN printf('%.2f', o_totalprice) || '%'
         ELSE translate(printf('%.2f', o_totalprice), '0123456789.', '٠١٢٣٤٥٦٧٨٩٫') END AS price_text FROM orders"""),
     "json_round_trip": (_json, "SELECT c_custkey AS _row, c_custkey, c_name, c_acctbal FROM customer"),
-    "results_round_trip": (_parquet, """SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem
-        GROUP BY 1"""),
+    "results_round_trip": (_parquet, """WITH l AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS r FROM lineitem),
+        o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders)
+        SELECT l_returnflag AS item, count(*) AS n, max(r) AS last_row, sum(l_quantity)::DOUBLE AS amount FROM l GROUP BY 1
+        UNION ALL SELECT o_orderstatus, count(*), max(r), round(sum(o_totalprice), 2) FROM o GROUP BY 1
+        UNION ALL SELECT 'write ok', 1, 0, 1.5"""),
     "stream_problems": (_stream_problems, """SELECT o_orderkey AS row_o_orderkey, 'o_totalprice' AS column_name,
         CAST(o_totalprice AS VARCHAR) AS value, 'Must be at most 450000' AS problem FROM orders WHERE o_totalprice > 450000
         UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus, 'Not an allowed value (F, O)' FROM orders

@@ -100,6 +100,23 @@ def settings(cfg: Mapping | None, columns: Sequence[str]) -> dict:
     return out
 
 
+def restricted(cfg: Mapping | None, columns: Sequence[str]) -> dict:
+    """The settings that concern the given columns; those that name columns of another table are left out."""
+    out = dict(cfg or {})
+    for key in ("to_number", "to_date"):
+        if isinstance(out.get(key), (list, tuple)):
+            out[key] = [c for c in out[key] if c in columns]
+    for key in ("fix_case", "replace"):
+        if isinstance(out.get(key), Mapping):
+            out[key] = {c: v for c, v in out[key].items() if c in columns}
+    if out.get("merge"):
+        merge = out["merge"]
+        whole = all(c in columns for c in merge["key"])
+        out["merge"] = {"key": merge["key"], "how": {c: h for c, h in merge.get("how", {}).items() if c in columns}} if whole else {}
+    out["rules"] = [r for r in out.get("rules", ()) if all(c in columns for c in (r["column"], r.get("not_after", r["column"])))]
+    return out
+
+
 def _stages(c: Column, name: str, cfg: Mapping) -> list[tuple[str, Column]]:
     """The row-local steps of one text column in order: (step, value after it)."""
     out = []
@@ -145,7 +162,7 @@ def _apply_corrections(df: DataFrame, fixes: DataFrame, position: int, column: s
 def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     """Keep the first of identical rows. Copies collapse before the shuffle, however many there are."""
     names = data_columns(df)
-    kept = df.groupBy(*[col(c) for c in names]).agg(F.min(ROW).alias(ROW))
+    kept = df.groupBy(*[typed(df, c)[0].alias(c) for c in names]).agg(F.min(ROW).alias(ROW))
     return kept.select(*[col(c) for c in df.columns])
 
 
@@ -316,8 +333,14 @@ def _value_log(staged, fixes, df, names, dates, numbers, whole, cfg, table) -> D
 
 def _duplicate_log(data: DataFrame, table: str) -> DataFrame:
     """Number of removed copies and the first 15 of them."""
-    groups = data.groupBy(*[col(c) for c in data_columns(data)]).agg(F.min(ROW).alias(ROW), F.count(F.lit(1)).alias("_copies"))
-    gone = data.select(ROW).join(groups.select(ROW), ROW, "left_anti")
+    cells = [typed(data, c)[0] for c in data_columns(data)]
+    names = [f"_c{i}" for i in range(len(cells))]
+    rows = data.select(F.xxhash64(*cells).alias("_h"), *[c.alias(n) for c, n in zip(cells, names)], col(ROW).alias("_r"))
+    groups = stable(rows.groupBy("_h", *names).agg(F.min("_r").alias("_first"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1"))
+    # only the rows of repeated ones are looked up again
+    held = groups.select(F.col("_h").alias("_g"), "_first", *[F.col(n).alias(f"{n}_") for n in names])
+    same = [F.col("_h") == F.col("_g"), *[F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]]
+    gone = rows.join(held, same).where("_r > _first").select(F.col("_r").alias(ROW))
     first = gone.orderBy(ROW).limit(15).agg(F.lit(None).cast("bigint").alias("n"), F.array_join(
         F.transform(F.array_sort(F.collect_list(ROW)), lambda r: (r + 2).cast("string")), ", ").alias("rows"))
     total = groups.agg(F.sum(F.col("_copies") - 1).alias("n"), F.lit(None).cast("string").alias("rows"))

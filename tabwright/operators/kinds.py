@@ -36,7 +36,7 @@ def per_column(values: list, type_name: str) -> Column:
 
 
 def looks_like_date(c: Column) -> Column:
-    return reduce(lambda x, y: x | y, [c.rlike("(?i)" + p) for p in C.DATE_LIKE])
+    return c.rlike(C.DATE_LIKE)
 
 
 def column_facts(df: DataFrame, values: DataFrame, decimal: str = ".", day_first: bool = True) -> list[Facts]:

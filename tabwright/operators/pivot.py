@@ -78,13 +78,14 @@ def pivot_table(df: DataFrame, rows: Sequence[str] = (), columns: Sequence[str]
     if calc not in C.CALCS:
         raise ValueError(f"calc must be one of {C.CALCS}, not {calc!r}")
     fields = rows + columns
-    if not values:
-        data = df.select(*[label(df, f).alias(f) for f in fields], F.lit(1.0).alias("Row count"))
+    counted = not values
+    if counted:
+        data = df.select(*[label(df, f).alias(f) for f in fields], F.lit(1.0).alias("_Row count"))
         values, calc = ["Row count"], "count"
     else:
         cells = [(plain_number(*typed(df, v)) if calc in _NUMERIC else typed(df, v)[0]).alias(f"_{v}") for v in values]
         data = df.select(*[label(df, f).alias(f) for f in fields], *cells)
-    inner = ["Row count"] if values == ["Row count"] else [f"_{v}" for v in values]
+    inner = [f"_{v}" for v in values]
     sets = [fields] + ([rows, columns, []] if totals and rows and columns else [[]] if totals else [])
     long = grouped(data, fields, sets, inner, calc)
     long = long.na.drop("all", subset=inner)
@@ -106,36 +107,47 @@ def pivot_table(df: DataFrame, rows: Sequence[str] = (), columns: Sequence[str]
 
     long = stable(long)
     joined = F.concat_ws(" | ", F.filter(F.array(*shown(columns)), lambda x: x != ""))
-    heads = long.select(joined.alias("h"), *[k.alias(f"k{i}") for i, k in enumerate(sort_keys(columns))]).distinct()
+    # a column stands for a combination of labels, or for the total: texts that read alike stay apart
+    total = F.col("_level").bitwiseAND(bit[columns[0]]) > 0
+    head = F.when(total, F.lit("total")).otherwise(F.to_json(F.array(*[col(c) for c in columns])))
+    heads = long.select(head.alias("head"), joined.alias("h"), *[k.alias(f"k{i}") for i, k in enumerate(sort_keys(columns))]).distinct()
     # the result has one column per head, so their number is bounded by the width of a table
     limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    found = [r["h"] for r in heads.orderBy(*[f"k{i}" for i in range(len(columns) + 1)]).limit(limit + 1).collect()]
+    found = heads.orderBy(*[f"k{i}" for i in range(len(columns) + 1)]).limit(limit + 1).collect()
     if len(found) > limit:
         raise ValueError(f"a pivot can have at most {limit} columns; {columns} has more values")
+    keys, texts = [r["head"] for r in found], _distinct([r["h"] for r in found], rows or ["Value"])
 
     if not rows:
         entries = [F.struct(F.lit(i).alias("_i"), F.lit(v).alias("Value"), col(x).alias("_x"))
                    for i, (v, x) in enumerate(zip(values, inner))]
-        tall = long.select(joined.alias("_head"), F.inline(F.array(*entries)))
-        out = tall.groupBy("_i", "Value").pivot("_head", found).agg(F.first("_x")).orderBy("_i").drop("_i")
-        return _fill(out, found) if fill_zero else out
+        tall = long.select(head.alias("_head"), F.inline(F.array(*entries)))
+        out = tall.groupBy("_i", "Value").pivot("_head", keys).agg(F.first("_x")).orderBy("_i").drop("_i").toDF("Value", *texts)
+        return _fill(out, texts) if fill_zero else out
 
-    wide = (long.withColumn("_head", joined).groupBy(*[col(r) for r in rows],
-                                                     (F.col("_level").bitwiseAND(bit[rows[0]]) > 0).alias("_all"))
-            .pivot("_head", found).agg(*[F.first(col(x)).alias(x) for x in inner]))
+    wide = (long.withColumn("_head", head).groupBy(*[col(r) for r in rows],
+                                                   (F.col("_level").bitwiseAND(bit[rows[0]]) > 0).alias("_all"))
+            .pivot("_head", keys).agg(F.struct(*[F.first(col(x)).alias(x) for x in inner])))
     single = len(values) == 1
-    picks, names = [], []
-    for v, x in zip(values, inner):
-        for h in found:
-            name = h if single else f"{v} | {h}"
-            picks.append(col(h if single else f"{h}_{x}").alias(name))
-            names.append(name)
+    names = _distinct([t if single else f"{v} | {t}" for v in values for t in texts], rows)
+    picks = [col(k)[x].alias(n) for n, (x, k) in zip(names, [(x, k) for x in inner for k in keys])]
     labels = [F.when(F.col("_all"), F.lit(C.TOTAL if i == 0 else "")).otherwise(col(r)).alias(r)
               for i, r in enumerate(rows)]
     out = wide.orderBy("_all", *[col(r) for r in rows]).select(*labels, *picks)
     return _fill(out, names) if fill_zero else out
 
 
+def _distinct(names: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """Column names with a number behind those that another column has already."""
+    out: list[str] = []
+    for n in names:
+        made, i = n, 2
+        while made.lower() in {x.lower() for x in (*taken, *out)}:
+            made, i = f"{n} ({i})", i + 1
+        out.append(made)
+    return out
+
+
 def _fill(df: DataFrame, names: Sequence[str]) -> DataFrame:
     numeric = {f.name for f in df.schema if is_number(f.dataType)}
     return df.select(*[F.coalesce(col(c), F.lit(0).cast(df.schema[c].dataType)).alias(c)

@@ -70,12 +70,12 @@ class Quality(NamedTuple):
     duplicates: DataFrame
 
 
-def similar_values(values: DataFrame, min_score: int = 88, limit: int | None = 30) -> DataFrame:
+def similar_values(values: DataFrame, min_score: int = 88, limit: int | None = None) -> DataFrame:
     """Pairs of different values that look like typos of each other, per column.
 
     From (position, value, n): spellings that differ in case and spaces count as one value. Values need
     four characters, a letter, and the same digits. All values of all columns are compared (by candidate
-    join); the best ``limit`` pairs per column are listed (None: all).
+    join); ``limit`` lists only the best pairs per column.
     """
     tidy = tidy_spaces(F.col("value"))
     counts = values.where("value is not null").groupBy("position", tidy.alias("v")).agg(F.sum("n").alias("n"))
@@ -112,11 +112,16 @@ def _examples(flagged: DataFrame) -> DataFrame:
     """
     shown = flagged.groupBy("position", "flag", "shown").agg(F.sum("n").alias("n"), F.min("rank").alias("rank"))
     counts = shown.groupBy("position", "flag").agg(F.sum("n").alias("cells"), F.count(F.lit(1)).alias("distinct"))
-    first = W.partitionBy("position", "flag").orderBy("rank", "shown")
+    return counts.join(_first_three(shown, ["position", "flag"]), ["position", "flag"])
+
+
+def _first_three(shown: DataFrame, groups: list[str]) -> DataFrame:
+    """The groups with their first three ``shown`` by ``rank`` as ``examples``. Every task keeps three rows per group;
+    only those are shuffled."""
+    first = W.partitionBy(*groups).orderBy("rank", "shown")
     top = shown.withColumn("_k", F.row_number().over(first)).where("_k <= 3")
-    lists = top.groupBy("position", "flag").agg(F.array_join(
+    return top.groupBy(*groups).agg(F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("_k", "shown"))), lambda x: x["shown"]), " | ").alias("examples"))
-    return counts.join(lists, ["position", "flag"])
 
 
 def exact_and_hidden_duplicates(df: DataFrame) -> DataFrame:
@@ -141,7 +146,7 @@ def duplicate_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def check_quality(df: DataFrame, table: str = "A", cfg: Mapping | None = None, as_of: dt.date | str | None = None,
-                  similar_limit: int | None = 30, duplicate_limit: int | None = None,
+                  similar_limit: int | None = None, duplicate_limit: int | None = None,
                   typos: bool | Sequence[str] = True) -> Quality:
     """Check one table. ``as_of`` is the day after which dates count as future (default: today).
 
@@ -212,7 +217,6 @@ def check_quality(df: DataFrame, table: str = "A", cfg: Mapping | None = None, a
         ("future", filled & (F.col("d") > today), day, row),
         ("old", filled & (F.year("d") < 1900), day, row),
         ("mixed_types", text_cell & ~kind.isin("number_text", "date_text"), plain_type, row),
-        ("filled", filled, v, row),
     ]
     entries = F.array(*[F.when(test, F.struct(F.lit(name).alias("flag"), shown.alias("shown"), rank.alias("rank")))
                         for name, test, shown, rank in flags])
@@ -235,7 +239,7 @@ def check_quality(df: DataFrame, table: str = "A", cfg: Mapping | None = None, a
     # typos
     searched = names if typos is True else list(typos or [])
     wanted = [f.kind == "text" and c in searched for c, f in zip(names, facts)]
-    pairs = stable(similar_values(real.where(per_column(wanted, "boolean") & is_text), limit=similar_limit))
+    pairs = stable(similar_values(real.where(per_column(wanted, "boolean") & is_text)))
     typo_flags = pairs.select("position", F.col("similar_count").alias("n"), F.lit("typos").alias("flag"), F.concat(
         F.lit("'"), "similar_value", F.lit("' ~ '"), "value", F.lit("'")).alias("shown"),
         (-F.col("similarity_pct")).cast("double").alias("rank"))
@@ -265,8 +269,7 @@ def check_quality(df: DataFrame, table: str = "A", cfg: Mapping | None = None, a
     seconds = [(i, c) for i, c in enumerate(names) if (m := re.match(r"^(.*)\.(\d+)$", c)) and m[1] in names]
     headers = [spark.createDataFrame([(i, "second_header", 0, 0, "")], found.schema) for i, _ in seconds]
     found_all = reduce(DataFrame.unionByName, headers, found)
-    keep = (F.when(flag == "filled", False)
-            .when(flag == "blank", F.lit("" in markers))
+    keep = (F.when(flag == "blank", F.lit("" in markers))
             .when(flag == "mixed_dates", F.col("distinct") > 1)
             .when(flag == "mixed_types", F.col("distinct") > 1)
             .when(flag == "negative", (F.col("cells") <= F.greatest(F.lit(1.0), 0.05 * counted)) & (counted >= 5))
@@ -306,7 +309,8 @@ def check_quality(df: DataFrame, table: str = "A", cfg: Mapping | None = None, a
     extremes = parsed.where(filled).groupBy("position").agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("d").alias("d0"), F.max("d").alias("d1"))
     empties = values.groupBy("position").agg(F.sum(F.when(filled, 0).otherwise(F.col("n"))).alias("empty"))
-    samples = found.where("flag = 'filled'").select("position", "examples")
+    # the values of a column are distinct already, so none but the examples is shuffled
+    samples = _first_three(values.where(filled).select("position", v.alias("shown"), row.alias("rank")), ["position"])
     lines = spark.createDataFrame([(i, c, C.KIND_LABELS[f.kind], f.filled, f.kind in ("text", "code") or id_like(c))
                                    for i, (c, f) in enumerate(zip(names, facts))],
                                   "position int, column string, label string, filled bigint, maybe_id boolean")
@@ -325,6 +329,9 @@ def check_quality(df: DataFrame, table: str = "A", cfg: Mapping | None = None, a
         F.coalesce(number_edge("x0"), date_edge("d0"), F.lit("")).alias("min"),
         F.coalesce(number_edge("x1"), date_edge("d1"), F.lit("")).alias("max"),
         F.coalesce("issues", zero).alias("issues"))
+    if similar_limit is not None:       # a shorter list; the issue counts every pair
+        place = F.row_number().over(W.partitionBy("position").orderBy(F.desc("similarity_pct"), "value", "similar_value"))
+        pairs = pairs.withColumn("_k", place).where(F.col("_k") <= similar_limit).drop("_k")
     similar = pairs.select(F.lit(table).alias("table"), column_name.alias("column"), "value", "count", "similar_value",
                            "similar_count", "similarity_pct")
     overview = _overview(table, len(names), total, empties, whole, every)
@@ -343,7 +350,7 @@ def _overview(table: str, width: int, total: Column, empties: DataFrame, whole:
     facts = empties.agg(F.sum("empty").alias("empty"))
     levels = every.agg(F.count_if(F.col("level") == "Fix").alias("fix"), F.count_if(F.col("level") == "Check").alias("check"))
     out = [line(0, facts, "Rows", total), line(1, facts, "Columns", F.lit(width)),
-           line(2, facts, "Empty cells", F.col("empty")), line(3, whole, "Identical duplicate rows", F.col("exact")),
+           line(2, facts, "Empty cells", F.coalesce("empty", F.lit(0))), line(3, whole, "Identical duplicate rows", F.col("exact")),
            line(4, whole, "Hidden duplicates (spaces/case)", F.col("hidden")),
            line(5, levels, "Problems to fix", F.col("fix")), line(6, levels, "Things to check", F.col("check"))]
     return reduce(DataFrame.unionAll, out).orderBy("_i").drop("_i")

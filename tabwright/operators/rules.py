@@ -146,4 +146,10 @@ def check_formulas(df: DataFrame, checks: Sequence[Mapping], show: Sequence[str]
         "check", "row_in_file", *[F.col("_shown")[c].alias(c) for c in show], "value", F.bround("expected", 4).alias("expected"),
         F.bround(gap, 4).alias("difference"),
         F.bround(F.try_divide(gap, F.col("expected")) * 100, 2).alias("difference_pct"))
-    return FormulaChecks(summary.orderBy("position").drop("position"), mismatches)
+    # a check has its line even if there is no row to check
+    lines = df.sparkSession.createDataFrame([(i, c.get("name") or f"{c['check']} = {c['equals']}") for i, c in enumerate(checks)],
+                                            "position int, check string")
+    full = lines.join(summary.drop("check"), "position", "left").select("position", "check", *[
+        F.coalesce(c, F.lit(0)).alias(c) for c in ("rows_checked", "mismatches", "could_not_check")],
+        F.coalesce("total_difference", F.lit(0.0)).alias("total_difference"))
+    return FormulaChecks(full.orderBy("position").drop("position"), mismatches)

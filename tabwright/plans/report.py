@@ -176,7 +176,8 @@ def trend_by_category(df: DataFrame, date_column: str, period: str, category: st
         small = _calculated(_mapped(data.where("_p is not null"), top), ["_p", "_c"], values, calc)
     small = stable(small)
     heads = [r["_c"] for r in top.orderBy("_place").collect()]        # at most top_n
-    columns = heads + ([] if C.OTHER in heads else [C.OTHER])
+    other = C.OTHER in heads or small.where(F.col("_c") == C.OTHER).limit(1).count() == 0
+    columns = heads + ([] if other else [C.OTHER])
     wide = small.groupBy("_p").pivot("_c", columns).agg(F.first(col(metric) if metric else F.col("_rows")))
     full = _calendar(small, period).join(wide, "_p", "left").orderBy("_p")
     fill = calc in ADDITIVE or not metric
@@ -207,7 +208,7 @@ def period_facts(df: DataFrame, date_column: str, period: str, day_first: bool =
 
 
 def report(df: DataFrame, spec: Mapping, as_of=None) -> dict[str, DataFrame]:
-    """All parts of a report by name. The cleaned rows are kept (persisted) while the parts are computed."""
+    """All parts of a report by name. The cleaned rows are written once for all parts."""
     s = settings(spec, df.columns)
     df = ensure_rows(df)
     out: dict[str, DataFrame] = {}
@@ -230,11 +231,13 @@ def report(df: DataFrame, spec: Mapping, as_of=None) -> dict[str, DataFrame]:
     period_column = None
     if date:
         df, period_column = add_period(df, date, period, s["day_first"])
-    df = df.persist()
+    df = stable(df)
     line(df.agg(F.count(F.lit(1)).alias("n")), ("Rows in report", F.col("n")))
-    for v in values:
-        m = measure_totals(df, [v], s["decimal"])
-        line(m, *[(f"{v} - {c}", value_text(F.col(c), T.DoubleType())) for c in ("total", "average", "smallest", "largest")])
+    if values:      # every value column in one pass
+        kinds = ("total", "average", "smallest", "largest")
+        shown = F.array(*[F.struct(F.concat("column", F.lit(f" - {c}")).alias("item"), value_text(F.col(c), T.DoubleType()).alias("value"))
+                          for c in kinds])
+        lines.append(measure_totals(df, values, s["decimal"]).select(F.inline(shown)).where("value is not null"))
     metric = values[0] if values else None
     metric_name = f"{metric} ({calc})" if metric else "Rows"
     if date:

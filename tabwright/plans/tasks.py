@@ -8,13 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.clean import clean_table, cleaning_summary
+from ..operators.clean import clean_table, cleaning_summary, restricted, settings
 from ..operators.compare import (column_compare_summary, compare_columns, compare_rows, exact_compare, key_warning,
                                  row_compare_summary, rowwise_compare, value_overlap)
 from ..operators.fuzzy import fuzzy_compare
 from ..operators.pivot import pivot_table
 from ..operators.quality import check_quality
-from ..operators.rows import ensure_rows, find_row
+from ..operators.rows import data_columns, ensure_rows, find_row
 
 Results = dict[str, DataFrame]
 
@@ -25,8 +25,16 @@ def _lines(row: DataFrame) -> DataFrame:
                                          for c in row.columns])))
 
 
+def _own_settings(tables: Mapping[str, DataFrame], cleaning: Mapping | None) -> dict[str, dict]:
+    """The settings of each table: checked against the columns of all, then those that concern it."""
+    known = list(dict.fromkeys(c for t in tables.values() for c in data_columns(t)))
+    settings(cleaning, known)
+    return {k: restricted(cleaning, data_columns(t)) for k, t in tables.items()}
+
+
 def _clean_all(tables: Mapping[str, DataFrame], cleaning: Mapping | None, as_of) -> tuple[dict, DataFrame, DataFrame, dict]:
-    done = {k: clean_table(t, cleaning, k, as_of) for k, t in tables.items()}
+    own = _own_settings(tables, cleaning)
+    done = {k: clean_table(t, own[k], k, as_of) for k, t in tables.items()}
     log = reduce(DataFrame.unionAll, [c.log for c in done.values()])
     problems = reduce(DataFrame.unionAll, [c.problems for c in done.values()])
     return {k: c.data for k, c in done.items()}, log, problems, done
@@ -36,7 +44,8 @@ def check_data(tables: Mapping[str, DataFrame], cleaning: Mapping | None = None,
                as_of=None, **options) -> Results:
     """Quality of every table, and what would be left after cleaning."""
     tables = {k: ensure_rows(t) for k, t in tables.items()}
-    checks = {k: check_quality(t, k, cleaning, as_of, **options) for k, t in tables.items()}
+    own = _own_settings(tables, cleaning)
+    checks = {k: check_quality(t, k, own[k], as_of, **options) for k, t in tables.items()}
     out = {name: reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [getattr(q, part) for q in checks.values()])
            for name, part in (("Overview", "overview"), ("Issues", "issues"), ("Columns", "columns"),
                               ("Similar spellings", "similar"), ("Duplicate rows", "duplicates"))}
@@ -46,7 +55,7 @@ def check_data(tables: Mapping[str, DataFrame], cleaning: Mapping | None = None,
     summary = _lines(counts).unionAll(_lines(similar))
     if apply_cleaning:
         data, log, problems, _ = _clean_all(tables, cleaning, as_of)
-        after = [check_quality(t, k, cleaning, as_of, **options).issues for k, t in data.items()]
+        after = [check_quality(t, k, own[k], as_of, **options).issues for k, t in data.items()]
         out["Issues after cleaning"] = reduce(DataFrame.unionByName, after)
         out["Cleaning log"], out["Data problems"] = log, problems
         left = out["Issues after cleaning"].agg(
@@ -86,7 +95,7 @@ def run_task(task: str, a: DataFrame, b: DataFrame | None = None, options: Mappi
     extra: Results = {}
     if apply_cleaning:
         known = {c for t in tables.values() for c in t.columns}
-        rules = [r for r in (cleaning or {}).get("rules", []) if r["column"] in known]
+        rules = [r for r in (cleaning or {}).get("rules", []) if {r["column"], r.get("not_after", r["column"])} <= known]
         tables, log, problems, _ = _clean_all(tables, {**(cleaning or {}), "rules": rules}, as_of)
         extra = {"Cleaning log": log, "Data problems": problems}
     return {**makers[task](tables, o), **extra}
