@@ -43,6 +43,11 @@ LABELS = {"secret": r"^(?i:token|secret|password|passwd|api[_-]?key|access[_-]?k
 MOST_ROUNDS = 40
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once per row, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _kind(found: Column) -> Column:
     made = F.lit("name")
     for kind, pattern in reversed(KINDS[:-1]):
@@ -64,14 +69,17 @@ def _gender(label: Column) -> Column:
 
 def parsed(found: Column) -> Column:
     """A mention as struct: ``kind``, ``label`` (kept), ``value``, ``canon`` (equal for mentions of one entity)."""
-    kind = _kind(found)
-    label = _label(found, kind)
-    value = F.substr(found, F.length(label) + 1)
-    low = F.lower(value)
-    canon = (F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(value, r"\D+", ""))
-             .when(kind == "iban", F.regexp_replace(value, " ", "")).when(kind == "name", F.concat_ws("/", _gender(label), low))
-             .when(kind == "email", low).otherwise(value))
-    return F.struct(kind.alias("kind"), label.alias("label"), value.alias("value"), canon.alias("canon"))
+    def canon(kind, label, value):
+        low = F.lower(value)
+        return (F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(value, r"\D+", ""))
+                .when(kind == "iban", F.regexp_replace(value, " ", "")).when(kind == "name", F.concat_ws("/", _gender(label), low))
+                .when(kind == "email", low).otherwise(value))
+
+    def whole(kind, label, value):
+        return F.struct(kind.alias("kind"), label.alias("label"), value.alias("value"), canon(kind, label, value).alias("canon"))
+
+    return _let(_kind(found), lambda kind: _let(_label(found, kind), lambda label: _let(
+        F.substr(found, F.length(label) + 1), lambda value: whole(kind, label, value))))
 
 
 def _number(key: str, kind: Column, canon: Column, attempt: Column, place: Column) -> Column:
@@ -101,7 +109,11 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
                 .when(hexed & c.rlike("[A-F]"), _letter("ABCDEF", n(i))).when(c.rlike("[A-Z]"), _letter(LATIN.upper(), n(i)))
                 .when(c.rlike(r"\p{IsCyrillic}"), _letter(CYRILLIC, n(i))).when(c.rlike(r"\p{L}"), _letter(LATIN, n(i))).otherwise(c))
 
-    mapped = F.array_join(F.transform(chars, char), "")
+    return _let(F.array_join(F.transform(chars, char), ""), lambda mapped: _of_kind(kind, canon, mapped, n))
+
+
+def _of_kind(kind: Column, canon: Column, mapped: Column, n) -> Column:
+    """The surrogate by kind, from the characters that were mapped one by one and the entity's keyed numbers."""
     end = F.regexp_extract(canon, r"\.[^.]*$", 0)                               # the top-level domain stays
     email = F.concat(F.substring(mapped, F.lit(1), F.length(mapped) - F.length(end)), end)
     iban = F.concat(F.substring(canon, 1, 2), F.substr(mapped, F.lit(3)))       # the country stays
@@ -130,6 +142,10 @@ def _luhn(digits: Column) -> Column:
 
 def rendered(mention: Column, made: Column) -> Column:
     """A surrogate in the format of one mention: its separators, and its capitals."""
+    return _let(made, lambda made: _shown(mention, made))
+
+
+def _shown(mention: Column, made: Column) -> Column:
     kind, value = mention["kind"], mention["value"]
     numbered = F.array_join(F.zip_with(
         F.split(value, r"[0-9]" ), F.regexp_extract_all(made, F.lit(r"(\d)"), 1),
