@@ -66,7 +66,8 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     met = (probes.withColumn("prefix", F.substring("digest", 1, PREFIX)).join(rules_by_prefix, F.col("prefix") == F.col("r_prefix"))
            .where("digest = r_digest"))
     rank = F.struct(F.length("rule"), F.col("verdict") == "block", F.col("rule"))
-    best = met.groupBy("u").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("best"))
+    # a table of its own, so that the join can split the rows of a frequent URL
+    best = saved(met.groupBy("u").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("best")), "url-verdicts")
     rows = df.select(whole_rows(df).alias("row"), name(url).cast("string").alias("url_"))
     found = rows.join(best, F.col("url_") == F.col("u"), "left")
     host, path = url_parts(F.col("url_"))
