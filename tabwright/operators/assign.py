@@ -53,6 +53,12 @@ def assign(edges: DataFrame, members_a: DataFrame, members_b: DataFrame, most_in
         live = stable(edges.join(state_a, "u").join(state_b, "v").where("off_u < size_u and off_v < size_v"))
         if live.isEmpty():
             break
+        if not most_in_task:    # rounds alone
+            taken = stable(_round(live, rows_a, rows_b))
+            done.append(taken.select("row_a", "row_b", "score"))
+            state_a, state_b = _advance(state_a, taken, "u"), _advance(state_b, taken, "v")
+            edges = live.select("u", "v", "score")
+            continue
         # nodes of both sides in one numbering
         found = components(live.select((F.col("u") * 2).alias("a"), (F.col("v") * 2 + 1).alias("b")))
         roots = found.where("node % 2 = 0").select(F.expr("node div 2").alias("u"), "root")
