@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..operators.components import components
 from .common import name, saved, text_or_empty, unfold, whole_rows
-from .components import components
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 
@@ -66,7 +66,8 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         i -> (shiftright(e.value, i) & 1L) = 1L), i -> e.value - shiftleft(1L, i)))""")
     probes = entries.select(F.col("fp").alias("a"), F.col("e.segment").alias("s"), F.explode(near).alias("v"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    met = probes.join(table, (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value"))
+    # probes are many times the entries, which size estimates overlook: the join must not be broadcast
+    met = probes.join(table.hint("merge"), (F.col("s") == F.col("segment")) & (F.col("v") == F.col("value"))
                       & (F.col("a") != F.col("b")) & (apart <= distance))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 

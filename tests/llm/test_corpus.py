@@ -12,7 +12,8 @@ from compare_sql import differences, open_tables
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tabwright.llm import bloom_dedup, bt_quality, components, mixing, packing, pii, quality_rules, queries, sharding, simhash, token_counts, url_filter
+from tabwright.llm import bloom_dedup, bt_quality, mixing, packing, pii, quality_rules, queries, sharding, simhash, token_counts, url_filter
+from tabwright.operators.components import components
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -413,7 +414,7 @@ def test_simhash_on_odd_rows(odd, empty):
 
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(500, 500), (601, 600), (600, 601), (601, 600)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}, 600: 600, 601: 600}
 
 
