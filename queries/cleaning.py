@@ -7,6 +7,7 @@ from tabwright.operators import (check_formulas, check_quality, clean_table, cle
 from tabwright.operators.quality import exact_and_hidden_duplicates
 from tabwright.plans.tasks import run_task
 
+from .comparing import LCS
 from .inputs import customer_dirty, customer_restated, orders_dirty, read, with_row
 
 DAY = "2000-06-30"
@@ -55,7 +56,13 @@ def _formula_summary(spark, folder):
 
 
 def _formula_rows(spark, folder):
-    return _checks(spark, folder).mismatches.select("check", "row_in_file", "l_partkey", "value", "expected", "difference", "difference_pct")
+    m = _checks(spark, folder).mismatches.where(F.col("check").isin("price", "price pct"))
+    return m.select("check", "row_in_file", "l_partkey", "value", "expected", "difference", "difference_pct")
+
+
+def _formula_all(spark, folder):
+    """Which rows break which of all four checks."""
+    return _checks(spark, folder).mismatches.select("check", "row_in_file", "l_partkey", "value")
 
 
 _PRICES = "FROM lineitem JOIN part ON l_partkey = p_partkey"
@@ -274,13 +281,16 @@ QUERIES = {
         CAST(l_partkey AS VARCHAR) AS l_partkey, l_extendedprice AS value, round_even(e, 4) AS expected,
         round_even(l_extendedprice - e, 4) AS difference, round_even((l_extendedprice - e) / e * 100, 2) AS difference_pct
         FROM (SELECT *, l_quantity * p_retailprice AS e {_PRICES}), (VALUES ('price'), ('price pct')) AS v(c)
-        WHERE CASE WHEN c = 'price' THEN abs(l_extendedprice - e) > 5 ELSE abs(l_extendedprice - e) > greatest(0.01, e / 2) END
-        UNION ALL SELECT 'unit', l_orderkey * 8 + l_linenumber + 2, CAST(l_partkey AS VARCHAR), v, round_even(e, 4), round_even(v - e, 4),
-        round_even((v - e) / e * 100, 2) FROM (SELECT *, l_extendedprice / (l_quantity - 1) AS v, 100 * l_quantity AS e {_PRICES}
-        WHERE l_quantity <> 1) WHERE abs(v - e) > 0.01
-        UNION ALL SELECT 'net', l_orderkey * 8 + l_linenumber + 2, CAST(l_partkey AS VARCHAR), v, round_even(e, 4), round_even(v - e, 4),
-        round_even((v - e) / e * 100, 2) FROM (SELECT *, l_extendedprice - l_extendedprice * l_discount AS v,
-        l_extendedprice * (1 - l_discount) AS e {_PRICES}) WHERE abs(v - e) > 0.01"""),
+        WHERE CASE WHEN c = 'price' THEN abs(l_extendedprice - e) > 5 ELSE abs(l_extendedprice - e) > greatest(0.01, e / 2) END"""),
+    "formula_mismatch_rows": (_formula_all, f"""SELECT c AS "check", l_orderkey * 8 + l_linenumber + 2 AS row_in_file,
+        CAST(l_partkey AS VARCHAR) AS l_partkey, v AS value FROM (
+        SELECT 'price' AS c, *, l_extendedprice AS v {_PRICES} WHERE abs(l_extendedprice - l_quantity * p_retailprice) > 5
+        UNION ALL SELECT 'price pct', *, l_extendedprice {_PRICES} WHERE abs(l_extendedprice - l_quantity * p_retailprice)
+          > greatest(0.01, l_quantity * p_retailprice / 2)
+        UNION ALL SELECT 'unit', *, l_extendedprice / (l_quantity - 1) {_PRICES} WHERE l_quantity <> 1
+          AND abs(l_extendedprice / (l_quantity - 1) - 100 * l_quantity) > 0.01
+        UNION ALL SELECT 'net', *, l_extendedprice - l_extendedprice * l_discount {_PRICES}
+          WHERE abs(l_extendedprice - l_extendedprice * l_discount - l_extendedprice * (1 - l_discount)) > 0.01)"""),
     "clean_table": (_clean_data, """SELECT c_custkey AS customer_no, c_name AS name, CASE WHEN c_custkey % 10 <> 0 THEN
         c_mktsegment END AS segment, c_acctbal AS balance, c_nationkey AS nation FROM customer"""),
     "cleaning_log": (_clean_log, _LOG),
@@ -335,16 +345,20 @@ QUERIES = {
         UNION ALL SELECT 'Identical duplicate rows', 0 UNION ALL SELECT 'Hidden duplicates (spaces/case)', 0
         UNION ALL SELECT 'Problems to fix', count(*) FROM q WHERE level = 'Fix'
         UNION ALL SELECT 'Things to check', count(*) FROM q WHERE level = 'Check'"""),
-    "quality_text_dates": (_quality_orders, f"""WITH t AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d,
+    "quality_text_dates": (_quality_orders, f"""WITH t AS (SELECT o_orderkey AS k, o_orderdate AS d,
           CASE WHEN o_orderkey % 6 = 3 THEN -o_totalprice ELSE o_totalprice END AS x FROM orders),
         e AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM t),
+        g AS (SELECT lower(day(d) || ' ' || (['January', 'Feb', 'Mar', 'April', 'May', 'Jun', 'July', 'Aug', 'September', 'Oct', 'Nov',
+          'December'])[month(d)] || ' ' || year(d)) AS v, count(*) AS n FROM t WHERE k % 4 = 2 GROUP BY 1),
+        pairs AS (SELECT p.v AS x, q.v AS y FROM g p JOIN g q ON p.v < q.v
+          AND regexp_replace(p.v, '[^0-9]', '', 'g') = regexp_replace(q.v, '[^0-9]', '', 'g')), {LCS},
         i AS (SELECT 'price_text' AS column_name, 'number_text' AS code, count(*) AS cells FROM t
         UNION ALL SELECT 'price_text', 'outlier', count(*) FILTER (WHERE x < q1 - 3 * (q3 - q1) OR x > q3 + 3 * (q3 - q1)) FROM t, e
         UNION ALL SELECT 'price_text', 'negative', CASE WHEN count(*) FILTER (WHERE x < 0) <= greatest(1, 0.05 * count(*))
           THEN count(*) FILTER (WHERE x < 0) ELSE 0 END FROM t
-        UNION ALL SELECT 'date_text', 'date_text', count(*) FROM t UNION ALL SELECT 'date_text', 'mixed_dates', count(*) FROM t
-        UNION ALL SELECT 'date_text', 'ambiguous', count(*) FILTER (WHERE k % 4 = 1 AND day(d) <= 12 AND day(d) <> month(d)) FROM t
-        UNION ALL SELECT 'date_text', 'future', count(*) FILTER (WHERE d > DATE '{DAY}') FROM t)
+        UNION ALL SELECT 'date_text', 'mixed_types', count(*) FROM t
+        UNION ALL SELECT 'date_text', 'typos', CAST(sum(CASE WHEN p.n > q.n OR p.n = q.n THEN q.n ELSE p.n END) AS BIGINT)
+          FROM scored JOIN g p ON p.v = x JOIN g q ON q.v = y WHERE score >= 88)
         SELECT * FROM i WHERE cells > 0"""),
     "quality_outliers": (_outliers, """WITH t AS (SELECT round(sum(l_extendedprice) ** 3 / 1e9, 2) AS c FROM lineitem
         GROUP BY l_orderkey), x AS (SELECT quantile_cont(c, 0.25) AS q1, quantile_cont(c, 0.75) AS q3 FROM t)

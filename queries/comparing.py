@@ -175,7 +175,7 @@ def _preview(spark, folder):
 
 # Longest common subsequence of two texts in SQL: one row of the table per letter, its prefix maxima by list
 # functions; score as a whole percentage, the plain ratio.
-_LCS = """
+LCS = """
 chars AS (SELECT *, string_split(x, '') AS cx, string_split(y, '') AS cy FROM pairs),
 lcs AS (SELECT x, y, list_last(list_reduce(list_prepend([0 FOR i IN range(len(y) + 1)], [[ascii(c)] FOR c IN cx]),
     lambda row, ch: [list_max([greatest(row[j], CASE WHEN j > 1 AND ascii(cy[j - 1]) = ch[1] THEN row[j - 1] + 1 ELSE 0 END)
@@ -197,7 +197,7 @@ def _scores(spark, folder):
 _ITEM = """CASE WHEN p_partkey % 7 = 0 THEN 'unlisted ' || p_type ELSE
     p_name[:p_partkey % len(p_name)] || p_name[p_partkey % len(p_name) + 2:] END"""
 _SCORES = f"""WITH a AS (SELECT DISTINCT p_name AS x FROM part), b AS (SELECT DISTINCT {_ITEM} AS y FROM part),
-pairs AS (SELECT x, y FROM a, b), {_LCS} SELECT x AS name, y AS mistyped, score FROM scored WHERE score >= 80"""
+pairs AS (SELECT x, y FROM a, b), {LCS} SELECT x AS name, y AS mistyped, score FROM scored WHERE score >= 80"""
 
 
 def _typos(spark, folder):
@@ -208,7 +208,7 @@ def _typos(spark, folder):
 
 _TYPOS = f"""WITH n AS (SELECT {_ITEM} AS v FROM part),
 g AS (SELECT trim(regexp_replace(v, '\\s+', ' ', 'g')) AS v, count(*) AS n FROM n GROUP BY 1),
-pairs AS (SELECT p.v AS x, q.v AS y FROM g p JOIN g q ON p.v < q.v WHERE len(p.v) >= 4 AND len(q.v) >= 4), {_LCS}
+pairs AS (SELECT p.v AS x, q.v AS y FROM g p JOIN g q ON p.v < q.v WHERE len(p.v) >= 4 AND len(q.v) >= 4), {LCS}
 SELECT CASE WHEN p.n >= q.n THEN x ELSE y END AS value, CASE WHEN p.n >= q.n THEN p.n ELSE q.n END AS count,
        CASE WHEN p.n >= q.n THEN y ELSE x END AS similar_value, CASE WHEN p.n >= q.n THEN q.n ELSE p.n END AS similar_count,
        score AS similarity_pct
@@ -267,7 +267,7 @@ texts AS (SELECT DISTINCT ra.t AS ta, rb.t AS tb FROM ra JOIN rb USING (k1, k2))
 forms AS (SELECT ta, tb, array_to_string(list_sort(string_split(ta, ' ')), ' ') AS x,
                  array_to_string(list_sort(string_split(tb, ' ')), ' ') AS y FROM texts
     UNION ALL SELECT ta, tb, replace(ta, ' ', ''), replace(tb, ' ', '') FROM texts),
-pairs AS (SELECT DISTINCT x, y FROM forms), {_LCS},
+pairs AS (SELECT DISTINCT x, y FROM forms), {LCS},
 best AS (SELECT ta, tb, max(score) AS score FROM forms JOIN scored USING (x, y) GROUP BY 1, 2),
 near AS (SELECT ra.r AS a, rb.r AS b, score FROM ra JOIN rb USING (k1, k2) JOIN best ON ta = ra.t AND tb = rb.t),
 steps(a, b, score, picked) AS (SELECT a, b, score, false FROM near WHERE score >= 85

@@ -34,7 +34,7 @@ def _parquet(spark, folder):
     base = _folder(spark)
     paths = write_results({"Top orders": read(spark, folder, "orders"), "Lines": read(spark, folder, "lineitem")}, base)
     append_run_log(spark, base + "/log", {"task": "write", "status": "ok", "seconds": 1.5})
-    lines = load_table(spark, paths["Lines"], "parquet", order_by=["l_orderkey", "l_linenumber"]).groupBy("l_returnflag").agg(
+    lines = load_table(spark, paths["Lines"], "parquet", order_by=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n"), F.max("_row").alias("last_row"), F.sum("l_quantity").alias("amount"))
     orders = load_table(spark, paths["Top orders"], "parquet", order_by=["o_orderkey"]).groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.max("_row").alias("last_row"), F.round(F.sum("o_totalprice"), 2).alias("amount"))
@@ -66,7 +66,7 @@ QUERIES = {
         WHEN 4 THEN printf('%.2f', o_totalprice) || '%'
         ELSE translate(printf('%.2f', o_totalprice), '0123456789.', '٠١٢٣٤٥٦٧٨٩٫') END AS price_text FROM orders"""),
     "json_round_trip": (_json, "SELECT c_custkey AS _row, c_custkey, c_name, c_acctbal FROM customer"),
-    "results_round_trip": (_parquet, """WITH l AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS r FROM lineitem),
+    "results_round_trip": (_parquet, """WITH l AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS r FROM lineitem),
         o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders)
         SELECT l_returnflag AS item, count(*) AS n, max(r) AS last_row, sum(l_quantity)::DOUBLE AS amount FROM l GROUP BY 1
         UNION ALL SELECT o_orderstatus, count(*), max(r), round(sum(o_totalprice), 2) FROM o GROUP BY 1

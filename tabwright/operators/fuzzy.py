@@ -34,7 +34,7 @@ def _groups(side: DataFrame) -> DataFrame:
 
 # scores down to which the closest text of an unmatched one is searched, step by step; letter pairs narrow the search
 # down to the first, and only what found nothing goes on to the next
-LEVELS = (90, 76, 60, 45, 30, 1)
+LEVELS = (76, 45, 1)
 
 
 class FuzzyComparison:

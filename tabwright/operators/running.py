@@ -26,11 +26,11 @@ def running_count(df: DataFrame, groups: Sequence[str], order_by: str, weight: s
     pieces = placed.groupBy(*keys, "_part").agg(F.sum(w).alias("_size"))
     # a group has at most one piece per partition, so these windows stay small
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    pieces = pieces.select(*[col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_p"),
+    pieces = pieces.select(*[col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_piece"),
                            F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"),
                            F.sum("_size").over(W.partitionBy(*keys)).alias("_total"))
     same: Column = reduce(lambda x, y: x & y, [col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)],
-                          F.col("_part") == F.col("_p"))
+                          F.col("_part") == F.col("_piece"))
     inside = W.partitionBy("_part", *keys).orderBy(col(order_by)).rowsBetween(W.unboundedPreceding, -1)
     return (placed.withColumn("_inside", F.coalesce(F.sum(w).over(inside), F.lit(0))).join(pieces, same)
             .select(*[col(c) for c in df.columns], (F.col("_start") + F.col("_inside")).alias("_before"), "_total"))
