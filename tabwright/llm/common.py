@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_written: list[list[str]] = []
+
+
+@contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """The paths of the tables that `saved` writes meanwhile, so that a caller can delete them once it needs none."""
+    paths: list[str] = []
+    _written.append(paths)
+    try:
+        yield paths
+    finally:
+        _written.remove(paths)
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -37,6 +59,8 @@ def saved(df: DataFrame, what: str = "table") -> DataFrame:
     the work, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
+    for paths in _written:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -128,5 +128,6 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacities: Seq
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)
-    return made.join(placed.select("row", "sequence_id", "offset"), "row").select(
+    # never broadcast: the size of a compressed table of numbers says little about its size in memory
+    return made.join(placed.select("row", "sequence_id", "offset").hint("merge"), "row").select(
         F.col("id").alias(key), "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset")
