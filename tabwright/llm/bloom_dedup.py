@@ -120,6 +120,7 @@ def duplicate_table(df: DataFrame, key: str = "doc_id", text: str = "text", most
                                              F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     maybe = marked.where("maybe")
     groups = maybe.groupBy("sha").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n")).select(F.col("sha").alias("s"), "first", "n")
+    groups = saved(groups, "dedup-groups")      # a table of its own, so that the join can split a large group
     met = maybe.join(groups, F.col("sha") == F.col("s")).select(
         F.col("id").alias(key), F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("at") == F.col("first.at")).alias("kept"), F.col("sha").alias("text_sha256"))
