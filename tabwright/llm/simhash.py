@@ -10,6 +10,8 @@ from ..operators.components import components
 from .common import name, saved, text_or_empty, unfold, whole_rows
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
+#: Of `keep_unlike`: words of a shingle, words of a run in its fingerprints, their radius, and bits of the parities.
+SIMILAR_SHINGLE, RUN, RADIUS, PARITIES = 5, 2, 7, 1024
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
@@ -105,3 +107,114 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", distance:
     rows = saved(rows.withColumn("at", F.monotonically_increasing_id()), "simhash-rows")
     stay = _roots(rows.select("id", "fp", "at"), distance).select(F.col("least.at").alias("a")).distinct()
     return unfold(rows.join(stay, F.col("at") == F.col("a"), "left_semi"), "row", df.columns, [], [])
+
+
+def sketches(text: Column, shingle: int = SIMILAR_SHINGLE, run: int = RUN, seed: int = SEED) -> Column:
+    """What `keep_unlike` needs of each text, in Arrow batches.
+
+    ``fps`` are two fingerprints of the runs of ``run`` words (the halves of a 128-bit one, hashed by XXH3). Of the set of
+    shingles, hashed by XXH64, ``n`` is the size, ``digest`` a hash, and ``odd`` says for each of 1,024 residues
+    whether an odd number of hashes has it: two sets differ in at least as many shingles as their parities do in bits.
+    """
+    @pandas_udf("fps array<bigint>, n int, odd array<bigint>, digest binary")
+    def of(texts):
+        import numpy as np
+        import pandas as pd
+        from xxhash import xxh3_128_digest, xxh64_digest
+        made = []
+        for t in texts:
+            parts = t.encode("utf-8", "surrogatepass").lower().split()
+            joined = b" ".join(parts)
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            ends = np.cumsum(sizes + 1) - 1
+            begins = (ends - sizes).tolist()
+            ends = ends.tolist()
+
+            def hashed(length, digest):       # bounded memory for any length
+                n = max(1, len(parts) - length + 1) if parts else 0
+                last = ends[-n:] if n else []
+                for at in range(0, n, 65536):
+                    yield b"".join([digest(joined[a:b], seed) for a, b in zip(begins[at:min(n, at + 65536)], last[at:at + 65536])])
+
+            votes, n_runs = np.zeros(128, dtype=np.int64), 0
+            for block in hashed(run, xxh3_128_digest):
+                bits = np.unpackbits(np.frombuffer(block, np.uint8).reshape(-1, 16), axis=1)
+                votes += bits.sum(axis=0, dtype=np.int64)
+                n_runs += len(bits)
+            held = np.unique(np.frombuffer(b"".join(hashed(shingle, xxh64_digest)), ">u8"))
+            odd = np.bincount((held % PARITIES).astype(np.int64), minlength=PARITIES) & 1
+            made.append((np.packbits(2 * votes > n_runs).view("<i8"), len(held), np.packbits(odd.astype(np.uint8)).view("<i8"),
+                         xxh3_128_digest(held.tobytes())))
+        return pd.DataFrame(made, columns=["fps", "n", "odd", "digest"])
+    return of(text)
+
+
+def similar(a: Column, b: Column, shingle: int = SIMILAR_SHINGLE) -> Column:
+    """Whether the sets of shingles of two texts have a Jaccard similarity of 0.8 or more (two empty sets have)."""
+    @pandas_udf("boolean")
+    def of(left, right):
+        import pandas as pd
+
+        def held(t):
+            w = t.encode("utf-8", "surrogatepass").lower().split()
+            return {b" ".join(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+        made, last, x = [], None, set()
+        for one, other in zip(left, right):
+            if one != last:
+                last, x = one, held(one)
+            y = held(other)
+            made.append(5 * len(x & y) >= 4 * len(x | y))
+        return pd.Series(made, dtype=bool)
+    return of(a, b)
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of rows (``at fps n odd``) that may be similar: one of their fingerprints is within seven bits,
+    and neither the sizes of their sets nor the parities exclude 0.8.
+
+    Seven bits over four segments of 16 leave one segment with one bit at most, so the one-bit balls of `links` find them all.
+    """
+    one = nodes.select("at", "n", F.posexplode("fps").alias("which", "fp"))
+    segment = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
+    value = F.expr("cast(shiftrightunsigned(fp, 16 * k) & 65535L as int)")
+    entries = one.select("at", "n", "which", "fp", segment).select("at", "n", "fp", value.alias("value"), F.expr("(which * 4 + k) * 65536").alias("base"))
+    table = entries.select(F.col("at").alias("b"), F.col("n").alias("m"), F.col("fp").alias("g"), (F.col("base") + F.col("value")).alias("slot"))
+    ball = F.expr("""concat(array(value), transform(filter(sequence(0, 15), i -> (shiftright(value, i) & 1) = 1),
+        i -> value - shiftleft(1, i)))""")
+    probes = entries.select(F.col("at").alias("a"), "n", "fp", "base", F.explode(ball).alias("v")).select(
+        "a", "n", "fp", (F.col("base") + F.col("v")).alias("s"))
+    met = probes.join(table.hint("merge"), (F.col("s") == F.col("slot")) & (F.col("a") != F.col("b"))
+                      & (F.bit_count(F.col("fp").bitwiseXOR(F.col("g"))) <= RADIUS)
+                      & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")))
+    pairs = saved(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+    left = nodes.select(F.col("at").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
+    right = nodes.select(F.col("at").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
+    apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # a similarity of 0.8 leaves a ninth of both sizes together as difference
+    return pairs.join(left, "a").join(right, "b").where(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b")
+
+
+def keep_unlike(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of texts that are linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, with
+    the columns of the frame: the one with the smallest key (rows without a key come last; of rows that share it, exactly one stays).
+
+    Pairs are looked for among texts with a fingerprint (two of them, over runs of two words) within seven bits, and every
+    pair is confirmed by its whole sets of shingles, so no unlike text goes; what fingerprints do not bring together
+    stays. Texts with equal sets meet in a grouped minimum, so thousands of copies cost one entry. A-Z is lower-cased; a text
+    of fewer than five words is one shingle; a null text is empty, and texts without words are alike.
+    """
+    rows = df.select(whole_rows(df).alias("row"), name(key).alias("id"), text_or_empty(text).alias("t"))
+    rows = rows.select("row", "id", sketches(F.col("t")).alias("of"), F.monotonically_increasing_id().alias("at"))
+    rows = saved(rows.select("row", "id", "at", "of.*"), "near-rows")
+    member = F.struct(F.col("id").isNull().alias("null"), "id", "at")
+    nodes = rows.groupBy("digest").agg(F.min(member).alias("first")).select("first", F.col("first.at").alias("first_at"))
+    nodes = saved(nodes.join(rows.select("at", "fps", "n", "odd"), F.col("first_at") == F.col("at")).select("first", "at", "fps", "n", "odd"), "near-nodes")
+    pairs = saved(_candidates(nodes), "near-pairs")
+    met = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct()
+    texts = saved(rows.join(met, "at", "left_semi").select("at", F.coalesce(F.col("row")[text].cast("string"), F.lit("")).alias("t")), "near-texts")
+    both = pairs.join(texts.select(F.col("at").alias("b"), F.col("t").alias("u")), "b").join(texts.select(F.col("at").alias("a"), "t"), "a")
+    found = components(both.where(similar(F.col("t"), F.col("u"))).select("a", "b"))
+    rooted = nodes.select("first", "at").join(found, F.col("at") == F.col("node"), "left").select("first", F.coalesce("root", "at").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.at").alias("a"))
+    return unfold(rows.join(stay, F.col("at") == F.col("a"), "left_semi"), "row", df.columns, [], [])

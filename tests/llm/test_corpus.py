@@ -412,6 +412,46 @@ def test_simhash_on_odd_rows(odd, empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.keep_first(empty).count() == 0
 
 
+def plain_similar(texts):
+    """All pairs with a Jaccard similarity of 0.8 or more of their 5-word shingles, from {id: text}."""
+    sets = {}
+    for k, t in sorted(texts.items()):
+        w = (t or "").encode().lower().split()
+        sets[k] = {b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    n, held, pairs = Counter(x for s in sets.values() for x in s), defaultdict(list), set()
+    for k, s in sets.items():    # such a pair shares one of the rarest fifth of either set, and one more
+        for x in sorted(s, key=lambda x: (n[x], x))[:len(s) - -(-4 * len(s) // 5) + 1]:
+            held[x].append(k)
+    for v in held.values():
+        pairs |= {(a, b) for i, a in enumerate(v) for b in v[i + 1:] if (a, b) not in pairs
+                  and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    return pairs
+
+
+def test_near_dedup_against_brute_force(spark):
+    """The pipeline's stage on sf0.1 without exact copies: 48 pairs, of which fingerprints bring 47 together."""
+    import corpus_pipeline
+    frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in frame.select("doc_id", "text").collect()}
+    plain = {min(m)[3] for m in plain_dedup(texts.items()).values()}
+    frame = frame.join(spark.createDataFrame([(k,) for k in plain], "doc_id bigint"), "doc_id", "left_semi")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, "").select("doc_id").collect()}
+    pairs = plain_similar({k: texts[k] for k in plain})
+    assert len(pairs) == 48
+    linked, missed = {x for p in pairs for x in p}, [p for p in pairs if p[0] in kept and p[1] in kept]
+    assert plain - kept <= linked and len(missed) <= 1 and not {9710, 7711, 7818} & kept
+
+
+def test_near_dedup_on_odd_rows(odd, empty, spark):
+    kept = simhash.keep_unlike(odd)
+    assert kept.columns == odd.columns and simhash.keep_unlike(empty).count() == 0
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "4", "6", "7", "8", "None"])
+    w = LONG.split()[:200]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:-2] + ["x"]).upper()), (3, " ".join(w[:100])), (None, " ".join(w)), (4, "a b"), (5, "a c")]
+    made = simhash.keep_unlike(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in made.collect()) == [1, 3, 4, 5]
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(500, 500), (601, 600), (600, 601), (601, 600)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
