@@ -45,7 +45,8 @@ HINTS = [r"[0-9@]", r"[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.=-]{8}",
 #: What stands before the part that is replaced, by kind.
 LABELS = {"secret": r"^(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?", "phone": r"^\+\d{1,3}(?=[ .(-])",
           "name": r"^(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? "}
-MOST_ROUNDS = 40
+#: Attempts in the shape of the mention; each one after them makes the surrogate longer, so that a full shape has a way out.
+SAME_SHAPE = 40
 
 
 def _let(value: Column, then) -> Column:
@@ -102,27 +103,37 @@ def _letter(alphabet: str, n: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The surrogate of an entity: as long as ``canon``, character class by character class, but for names and IPs."""
+    """The surrogate of an entity: as long as ``canon``, character class by character class, but for names and IPs.
+
+    From attempt ``SAME_SHAPE`` on it grows, by one character each time: a digit at the end, a letter before an address's
+    top-level domain, a syllable of a family name, a digit of a fifth number of an IP address.
+    """
+    extra = F.greatest(F.lit(0), attempt - (SAME_SHAPE - 1))
+    end = F.regexp_extract(canon, r"\.[^.]*$", 0)
+    longer = F.when(kind == "email", F.concat(F.substring(canon, F.lit(1), F.length(canon) - F.length(end)), F.repeat(F.lit("a"), extra), end)
+                    ).otherwise(F.concat(canon, F.repeat(F.lit("0"), extra)))
+
     def n(place):
         return _number(key, kind, canon, attempt, place)
 
     hexed = canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & (kind == "secret")
-    chars = F.regexp_extract_all(canon, F.lit("(?s)(.)"), 1)
+    chars = F.regexp_extract_all(F.when(extra > 0, longer).otherwise(canon), F.lit("(?s)(.)"), 1)
 
     def char(c, i):
         return (F.when(c.rlike(r"\d"), (n(i) % 10).cast("string")).when(hexed & c.rlike("[a-f]"), _letter("abcdef", n(i)))
                 .when(hexed & c.rlike("[A-F]"), _letter("ABCDEF", n(i))).when(c.rlike("[A-Z]"), _letter(LATIN.upper(), n(i)))
                 .when(c.rlike(r"\p{IsCyrillic}"), _letter(CYRILLIC, n(i))).when(c.rlike(r"\p{L}"), _letter(LATIN, n(i))).otherwise(c))
 
-    return _let(F.array_join(F.transform(chars, char), ""), lambda mapped: _of_kind(kind, canon, mapped, n))
+    return _let(F.array_join(F.transform(chars, char), ""), lambda mapped: _of_kind(kind, canon, mapped, n, extra))
 
 
-def _of_kind(kind: Column, canon: Column, mapped: Column, n) -> Column:
+def _of_kind(kind: Column, canon: Column, mapped: Column, n, extra: Column) -> Column:
     """The surrogate by kind, from the characters that were mapped one by one and the entity's keyed numbers."""
     end = F.regexp_extract(canon, r"\.[^.]*$", 0)                               # the top-level domain stays
     email = F.concat(F.substring(mapped, F.lit(1), F.length(mapped) - F.length(end)), end)
     iban = F.concat(F.substring(canon, 1, 2), F.substr(mapped, F.lit(3)))       # the country stays
     ip = F.concat_ws(".", *[(1 + n(F.lit(i)) % 254).cast("string") for i in range(4)])
+    ip = F.when(extra > 0, F.concat(ip, F.lit("."), F.substring(mapped, F.length(mapped) - extra + 1, extra))).otherwise(ip)
     # a number that passes the Luhn test keeps passing it
     body = F.substring(mapped, F.lit(1), F.length(mapped) - 1)
     card = F.when(_luhn(canon) % 10 == 0, F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))).otherwise(mapped)
@@ -131,7 +142,9 @@ def _of_kind(kind: Column, canon: Column, mapped: Column, n) -> Column:
     for (script, g), names in GIVEN.items():
         given = F.when((gender == g) & (cyrillic == (script == "cyrillic")), _pick(names, n(F.lit(0)))).otherwise(given)
     for script, parts in SYLLABLES.items():
-        family = F.when(cyrillic == (script == "cyrillic"), F.initcap(F.concat(*[_pick(parts, n(F.lit(i))) for i in range(1, 7)]))).otherwise(family)
+        family = F.when(cyrillic == (script == "cyrillic"), F.initcap(F.concat(*[_pick(parts, n(F.lit(i))) for i in range(1, 7)], F.when(
+            extra > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(1))), lambda i: _pick(parts, n(i + 6))), "")
+        ).otherwise("")))).otherwise(family)
     person = F.when(canon.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
             .when(kind == "name", F.lower(F.concat_ws("/", gender, person))).otherwise(mapped))
@@ -154,14 +167,16 @@ def _shown(mention: Column, made: Column) -> Column:
     kind, value = mention["kind"], mention["value"]
     numbered = F.array_join(F.zip_with(
         F.split(value, r"[0-9]" ), F.regexp_extract_all(made, F.lit(r"(\d)"), 1),
-        lambda gap, d: F.concat(gap, F.coalesce(d, F.lit("")))), "")
+        lambda gap, d: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(d, F.lit("")))), "")
     groups = F.regexp_replace(value, r"[^ ]", "")
     spaced = F.when(groups == "", made).otherwise(F.rtrim(F.regexp_replace(made, r"(.{4})", "$1 ")))
     chars = F.zip_with(F.regexp_extract_all(value, F.lit("(?s)(.)"), 1), F.regexp_extract_all(made, F.lit("(?s)(.)"), 1),
                        lambda old, new: F.when(old.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new))
+    # the end of a longer address has no old capitals to go by
+    address = F.when((value == F.upper(value)) & (F.length(made) > F.length(value)), F.upper(made)).otherwise(F.array_join(chars, ""))
     person = F.substr(made, F.lit(3))
     person = F.when(value == F.upper(value), F.upper(person)).otherwise(F.initcap(person))
-    shown = (F.when(kind.isin("phone", "ssn", "card"), numbered).when(kind == "iban", spaced).when(kind == "email", F.array_join(chars, ""))
+    shown = (F.when(kind.isin("phone", "ssn", "card"), numbered).when(kind == "iban", spaced).when(kind == "email", address)
              .when(kind == "name", person).otherwise(made))
     return F.concat(mention["label"], shown)
 
@@ -175,12 +190,13 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
     """The entities (``kind``, ``canon``) whose first surrogate would not do, with the ``attempt`` that does.
 
     A surrogate will not do if it is a real entity of the corpus, or another entity's surrogate (the
-    smallest entity keeps it). Only those that lose try again, until none does.
+    smallest entity keeps it). Only those that lose try again, until none does: surrogates grow once ``SAME_SHAPE`` attempts
+    failed, so even a shape whose every value is a real entity comes to an end.
     """
     real = entities.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
     tried = entities.withColumn("attempt", F.lit(0))
     settled = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         made = tried.withColumn("sur", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt")))
         pool = made.withColumn("new", F.lit(1))
         if settled is not None:
@@ -195,7 +211,6 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
         if bad.limit(1).count() == 0:
             return settled.where("attempt > 0").select("kind", "canon", "attempt")
         tried = bad.withColumn("attempt", F.col("attempt") + 1)
-    raise RuntimeError("a kind has more entities than surrogates")
 
 
 def replace_private(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -204,7 +219,7 @@ def replace_private(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     Detected are secrets, e-mail addresses, phone, card, bank and social security numbers, IP addresses, and names
     after a form of address. Mentions of one entity (in other separators or capitals) get one surrogate over the whole corpus,
     and different entities different ones. A surrogate keeps the kind, length and format of the mention: digits stay digits, letters
-    letters of their script, capitals capitals; card numbers stay valid, country codes stay, and names keep gender and script. The
+    letters of their script, capitals capitals (a shape with too few free values gives longer ones); card numbers stay valid, country codes stay, and names keep gender and script. The
     first surrogate depends on ``key`` and the entity alone, so rows are rewritten where they are; the few entities that
     collided are met by a join.
 

@@ -229,6 +229,25 @@ def test_surrogates_that_collide_try_again(spark):
     assert len(set(made)) == 14 and not set(made) & {f"{i:02d}" for i in range(14)}
 
 
+def test_surrogates_of_a_full_shape_are_longer(spark, monkeypatch):
+    """All values of a shape are real entities, so no attempt in that shape can do."""
+    monkeypatch.setattr(pii, "SAME_SHAPE", 2)
+    entities = [("ssn", str(i)) for i in range(10)] + [("email", f"{i}@{j}.com") for i in range(10) for j in range(10)]
+    tries = {(r["kind"], r["canon"]): r["attempt"] for r in pii.attempts(spark.createDataFrame(entities, "kind string, canon string"), "k").collect()}
+    assert set(tries) == set(entities)
+    tried = spark.createDataFrame([(*e, tries[e]) for e in entities], "kind string, canon string, attempt int")
+    made = {(r["kind"], r["made"]) for r in tried.select("kind", pii.surrogate("k", F.col("kind"), F.col("canon"), F.col("attempt")).alias("made")).collect()}
+    assert len(made) == len(entities) and not made & set(entities) and all(m.endswith(".com") for k, m in made if k == "email")
+    odd = [("ip", "1.2.3.4"), ("name", "m/a b"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000")]
+    grown = spark.createDataFrame([(*e, 3) for e in odd], "kind string, canon string, attempt int").select(
+        "kind", pii.surrogate("k", F.col("kind"), F.col("canon"), F.col("attempt")).alias("made"))
+    assert {k: bool(re.fullmatch(p, m)) for (k, m), p in zip(grown.collect(), [r"(\d+\.){4}\d\d", r"m/[a-z]+ [a-z]{16}", r"\d{18}", r"DE\d{22}"])} == dict.fromkeys(
+        ["ip", "name", "card", "iban"], True)
+    texts = spark.createDataFrame([(i, t.upper()) for i, t in enumerate(["1@2.com", *(f"{i}@{j}.com" for i in range(10) for j in range(10))])], "doc_id int, text string")
+    shown = [r["text"] for r in pii.replace_private(texts, "k").sort("doc_id").collect()]
+    assert len(set(shown)) == 100 and shown[0] == shown[1 + 12] and all(t.isupper() and t.endswith(".COM") for t in shown)
+
+
 def test_collided_surrogates_reach_the_texts(spark, monkeypatch):
     names = ["Mr. " + c + "o" for c in "ABCDEFGHIJKLMNOP"]
     monkeypatch.setattr(pii, "SYLLABLES", {"latin": ["ba", "do"], "cyrillic": ["ба"]})
