@@ -42,8 +42,10 @@ ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 HINTS = [r"[0-9@]", r"[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.=-]{8}",
          "[" + "".join(sorted({w[0] for w in MALE + FEMALE + NEUTRAL})) + "](?:" + "|".join(w[1:] for w in MALE + FEMALE + NEUTRAL)
          + r")\.? \p{Lu}"]
+#: Country codes of phone numbers: no code begins another, so the digits alone tell where one ends.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 #: What stands before the part that is replaced, by kind.
-LABELS = {"secret": r"^(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?", "phone": r"^\+\d{1,3}(?=[ .(-])",
+LABELS = {"secret": r"^(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?", "phone": rf"^\+(?:{COUNTRY})",
           "name": r"^(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.? "}
 #: Attempts in the shape of the mention; each one after them makes the surrogate longer, so that a full shape has a way out.
 SAME_SHAPE = 40
@@ -217,8 +219,9 @@ def replace_private(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The frame with ``text`` rewritten and ``n_replaced`` (mentions replaced).
 
     Detected are secrets, e-mail addresses, phone, card, bank and social security numbers, IP addresses, and names
-    after a form of address. Mentions of one entity (in other separators or capitals) get one surrogate over the whole corpus,
-    and different entities different ones. A surrogate keeps the kind, length and format of the mention: digits stay digits, letters
+    after a form of address. Mentions of one entity (in other separators or capitals; phones with or without their country code)
+    get one surrogate over the whole corpus, and different entities different ones. A name is the whole string after its form of
+    address with that word's gender: other forms of it are other entities, and a bare repeat stays. A surrogate keeps the kind, length and format of the mention: digits stay digits, letters
     letters of their script, capitals capitals (a shape with too few free values gives longer ones); card numbers stay valid, country codes stay, and names keep gender and script. The
     first surrogate depends on ``key`` and the entity alone, so rows are rewritten where they are; the few entities that
     collided are met by a join.

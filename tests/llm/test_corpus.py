@@ -219,6 +219,16 @@ def test_surrogates(spark):
     assert pii.replace_private(df, "other").where("doc_id = 0").head()["text"] != a
 
 
+def test_phones_are_one_entity_with_any_separator(spark):
+    texts = ["+1 (017) 555-7713", "+10175557713", "+1-017-555-7713", "(017) 555-7713", "+49 170 5557713", "+491705557713", "+421 905 123 456", "+421905123456"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    made = [r["text"] for r in pii.replace_private(df, "k").sort("doc_id").collect()]
+    digits = [re.sub(r"\D", "", t) for t in made]
+    assert digits[0] == digits[1] == digits[2] == "1" + digits[3] and digits[4] == digits[5] and digits[6] == digits[7]
+    assert all(re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) and a != b for a, b in zip(texts, made))
+    assert all(t.startswith(c) for t, c in zip(made, ["+1", "+1", "+1", "(", "+49", "+49", "+421", "+421"]))
+
+
 def test_surrogates_that_collide_try_again(spark):
     """Fourteen of the hundred two-digit entities: some first surrogates are real ones or shared."""
     entities = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(14)], "kind string, canon string")
