@@ -226,6 +226,8 @@ def replace_private(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     first surrogate depends on ``key`` and the entity alone, so rows are rewritten where they are; the few entities that
     collided are met by a join.
 
+    Any run of 13 to 19 digits is replaced as a card number, whether or not it passes the Luhn test, to err on the safe side.
+
     A null text stays null with 0 replaced; texts without mentions stay as they are. An input column named like a
     result gives way.
     """
