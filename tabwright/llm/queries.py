@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bloom_dedup, bt_quality, mixing, packing, pii, quality_rules, sharding, simhash, token_counts, url_filter
+from . import (bloom_dedup, bpe_stream, bt_quality, filter_audit, mixing, packing, pii, quality_rules, sharding, simhash,
+               token_counts, url_filter, vector_codes)
 from .common import read
 
 #: The rules that `op2_url_filter` applies.
@@ -60,6 +61,18 @@ def op10_exact_dedup(spark, folder):
     return bloom_dedup.duplicate_table(read(spark, folder, "documents"))
 
 
+def op11_bpe(spark, folder):
+    return bpe_stream.round_trip(read(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark, folder):
+    return filter_audit.audit(filter_audit.masked(read(spark, folder, "documents"), read(spark, folder, "labels")))
+
+
+def op13_vector_codes(spark, folder):
+    return vector_codes.compress(read(spark, folder, "embeddings"))
+
+
 WS = r"[\x20\x09-\x0D]"
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 SQL2 = rf"""
@@ -126,6 +139,51 @@ o AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION
     WINDOW w AS (PARTITION BY plain ORDER BY points DESC, doc_id))
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(plain) AS text_sha256 FROM o"""
 
+SQL12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+    FROM f LEFT JOIN known USING (doc_id) GROUP BY ALL),
+letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT v.l || w.l || x.l || y.l || z.l AS o FROM letters v, letters w, letters x, letters y, letters z
+    WHERE len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5),
+gone AS (SELECT cells.*, o, least(if(a, strpos(o, 'A'), 6), if(b, strpos(o, 'B'), 6), if(c, strpos(o, 'C'), 6), if(d, strpos(o, 'D'), 6),
+    if(e, strpos(o, 'E'), 6)) AS gone_at FROM cells, orders),
+told AS (SELECT part, o AS filter_order, step, sum(n) FILTER (gone_at > step) AS kept, sum(n) FILTER (gone_at = step) AS removed,
+    sum(n) FILTER (gone_at < step AND fails) AS redundant, sum(n) FILTER (fails AND a::INT + b::INT + c::INT + d::INT + e::INT = 1) AS unique_fails,
+    sum(good) FILTER (gone_at = step) AS good_lost, sum(toxic) FILTER (gone_at = step) AS toxic_lost
+    FROM (SELECT *, substr(o, step, 1) AS letter, [a, b, c, d, e][strpos('ABCDE', substr(o, step, 1))] AS fails
+        FROM gone, (SELECT unnest(range(1, 6)) AS step)) GROUP BY part, o, step)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+    coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+    coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+    (sum(coalesce(removed, 0)) OVER (PARTITION BY part, substr(filter_order, step, 1)))::BIGINT AS shapley FROM told"""
+
+
+def _round_sql(k: int) -> str:
+    """CTEs of one round: the parts assigned to the books ``c{k}``, and the books after that."""
+    apart = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(4))
+    means = ", ".join(f"CASE WHEN n IS NULL THEN c.x{i} ELSE (s{i} - ((s{i} % n) + n) % n) // n END AS x{i}" for i in range(4))
+    sums = ", ".join(f"sum(x{i})::BIGINT AS s{i}" for i in range(4))
+    return f"""
+a{k} AS (SELECT p.rid, p.part, min(({apart}) * 64 + c.e) AS m FROM p JOIN c{k} c ON p.part = c.part GROUP BY p.rid, p.part),
+s{k} AS (SELECT part, m % 64 AS e, count(*) AS n, {sums} FROM a{k} JOIN p USING (rid, part) GROUP BY part, m % 64),
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.e, {means} FROM c{k} c LEFT JOIN s{k} s ON c.part = s.part AND c.e = s.e)"""
+
+
+#: For vectors of 64 components (parts of four).
+SQL13 = f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, [floor(256 * x)::BIGINT FOR x IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS MATERIALIZED (SELECT rid, part, v[4 * part + 1] AS x0, v[4 * part + 2] AS x1, v[4 * part + 3] AS x2, v[4 * part + 4] AS x3 FROM kept, range(16) r(part)),
+c0 AS MATERIALIZED (SELECT part, rid - 1 AS e, x0, x1, x2, x3 FROM p WHERE rid <= 64),{_round_sql(0)},{_round_sql(1)},{_round_sql(2)},
+coded AS (SELECT rid, string_agg(printf('%02x', m % 64), '' ORDER BY part) AS code, sum(m // 64)::BIGINT AS error FROM a2 GROUP BY rid),
+books AS (SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rid), books"""
+
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_url_filter": (op2_url_filter, SQL2),
@@ -137,6 +195,9 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_exact_dedup": (op10_exact_dedup, SQL10),
+    "op11_bpe": (op11_bpe, None),
+    "op12_filter_audit": (op12_filter_audit, SQL12),
+    "op13_vector_codes": (op13_vector_codes, SQL13),
 }
 
 
