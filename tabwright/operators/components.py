@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +15,16 @@ def _smallest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, keep: Callable[[DataFrame], DataFrame] = stable) -> DataFrame:
     """``node`` and ``root`` (the smallest node it can reach) for every node of ``links`` (columns ``a``, ``b``).
 
     Rounds of large-star (larger neighbours hang on the smallest neighbour) and small-star (the smaller ones too)
     turn every component into a star, in a number of rounds that grows with the logarithm of its size. A
     neighbourhood is only ever reduced to its minimum, so nothing gathers it, and hot nodes of the joins can be
-    split. Every round is a written table.
+    split. Every round is a table written by ``keep``.
     """
     def fixed(pairs: DataFrame) -> DataFrame:
-        return stable(pairs.where("u <> v").distinct())
+        return keep(pairs.where("u <> v").distinct())
 
     edges = fixed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     for _ in range(most_rounds):
