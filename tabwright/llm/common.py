@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,18 +31,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-_written: list[list[str]] = []
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("tables_written", default=())
 
 
 @contextmanager
 def tables_written() -> Iterator[list[str]]:
-    """The paths of the tables that `saved` writes meanwhile, so that a caller can delete them once it needs none."""
+    """The paths of the tables that this thread's `saved` writes meanwhile, so that a caller can delete them once it needs none."""
     paths: list[str] = []
-    _written.append(paths)
+    before = _written.set((*_written.get(), paths))
     try:
         yield paths
     finally:
-        _written.remove(paths)
+        _written.reset(before)
 
 
 def delete_tables(spark: SparkSession, paths: list[str]) -> None:
@@ -50,6 +51,11 @@ def delete_tables(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def note_written(path: str) -> None:
+    for paths in _written.get():
+        paths.append(path)
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -59,8 +65,7 @@ def saved(df: DataFrame, what: str = "table") -> DataFrame:
     the work, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
-    for paths in _written:
-        paths.append(path)
+    note_written(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,8 +10,9 @@ from ..operators.components import components
 from .common import name, saved, text_or_empty, unfold, whole_rows
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
-#: Of `keep_unlike`: words of a shingle, words of a run in its fingerprints, their radius, and bits of the parities.
-SIMILAR_SHINGLE, RUN, RADIUS, PARITIES = 5, 2, 7, 1024
+#: Of `keep_unlike`: words of a shingle, words of a run, segments of the runs' fingerprint, bits by which the shingles'
+#: fingerprints may differ (of 128), bits of the parities, and rounds that compare with one row of each slot, at most.
+SIMILAR_SHINGLE, RUN, SEGMENTS, RADIUS, PARITIES, ROUNDS = 5, 2, 8, 33, 1024, 8
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
@@ -94,7 +95,7 @@ def _roots(prints: DataFrame, distance: int) -> DataFrame:
     key come last), from rows of ``id fp at``."""
     member = F.struct(F.col("id").isNull().alias("n"), "id", "at")
     firsts = saved(prints.groupBy("fp").agg(F.min(member).alias("first")), "simhash-distinct")
-    found = components(links(firsts.select("fp"), distance))
+    found = components(links(firsts.select("fp"), distance), keep=saved)
     rooted = firsts.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least")).select(F.col("root").alias("r"), "least")
     return rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "least")
@@ -102,7 +103,11 @@ def _roots(prints: DataFrame, distance: int) -> DataFrame:
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of the frame: the one with the smallest key
-    (rows without a key come last; of rows that share it, exactly one stays)."""
+    (rows without a key come last; of rows that share it, exactly one stays).
+
+    A null text is empty, and texts without words are alike; repeated rows are one group; a text of any length is hashed in
+    blocks. An empty table gives an empty table. Helper columns cannot clash with the frame's.
+    """
     rows = df.select(whole_rows(df).alias("row"), name(key).alias("id"), fingerprint(text_or_empty(text)).alias("fp"))
     rows = saved(rows.withColumn("at", F.monotonically_increasing_id()), "simhash-rows")
     stay = _roots(rows.select("id", "fp", "at"), distance).select(F.col("least.at").alias("a")).distinct()
@@ -112,15 +117,27 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", distance:
 def sketches(text: Column, shingle: int = SIMILAR_SHINGLE, run: int = RUN, seed: int = SEED) -> Column:
     """What `keep_unlike` needs of each text, in Arrow batches.
 
-    ``fps`` are two fingerprints of the runs of ``run`` words (the halves of a 128-bit one, hashed by XXH3). Of the set of
-    shingles, hashed by XXH64, ``n`` is the size, ``digest`` a hash, and ``odd`` says for each of 1,024 residues
-    whether an odd number of hashes has it: two sets differ in at least as many shingles as their parities do in bits.
+    ``fps`` is a fingerprint of 256 bits (four numbers) of the runs of ``run`` words, of which the segments are cut. Of the set
+    of shingles, hashed by XXH64, ``c`` and ``d`` are a fingerprint of 128 bits, ``n`` the size, ``digest`` a hash, and ``odd`` says for each
+    of 1,024 residues whether an odd number of hashes has it: two sets differ in at least as many shingles as their parities do in bits.
     """
-    @pandas_udf("fps array<bigint>, n int, odd array<bigint>, digest binary")
+    @pandas_udf("fps array<bigint>, c bigint, d bigint, n int, odd array<bigint>, digest binary")
     def of(texts):
         import numpy as np
         import pandas as pd
         from xxhash import xxh3_128_digest, xxh64_digest
+
+        def majority(blocks, bits):
+            votes, n = np.zeros(bits, dtype=np.int64), 0
+            for block in blocks:
+                votes += np.unpackbits(block.view(np.uint8).reshape(len(block), -1), axis=1).sum(axis=0, dtype=np.int64)
+                n += len(block)
+            return np.packbits(2 * votes > n).view("<i8")
+
+        def widened(h):                       # as many numbers more of each hash
+            more = (h ^ (h[:, ::-1] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+            return np.hstack([h, more ^ (more >> np.uint64(32))])
+
         made = []
         for t in texts:
             parts = t.encode("utf-8", "surrogatepass").lower().split()
@@ -136,21 +153,19 @@ def sketches(text: Column, shingle: int = SIMILAR_SHINGLE, run: int = RUN, seed:
                 for at in range(0, n, 65536):
                     yield b"".join([digest(joined[a:b], seed) for a, b in zip(begins[at:min(n, at + 65536)], last[at:at + 65536])])
 
-            votes, n_runs = np.zeros(128, dtype=np.int64), 0
-            for block in hashed(run, xxh3_128_digest):
-                bits = np.unpackbits(np.frombuffer(block, np.uint8).reshape(-1, 16), axis=1)
-                votes += bits.sum(axis=0, dtype=np.int64)
-                n_runs += len(bits)
+            fps = majority((widened(np.frombuffer(b, "<u8").reshape(-1, 2)) for b in hashed(run, xxh3_128_digest)), 256)
             held = np.unique(np.frombuffer(b"".join(hashed(shingle, xxh64_digest)), ">u8"))
+            c, d = majority((widened(held[at:at + 65536, None].astype("<u8")) for at in range(0, len(held), 65536)), 128)
             odd = np.bincount((held % PARITIES).astype(np.int64), minlength=PARITIES) & 1
-            made.append((np.packbits(2 * votes > n_runs).view("<i8"), len(held), np.packbits(odd.astype(np.uint8)).view("<i8"),
-                         xxh3_128_digest(held.tobytes())))
-        return pd.DataFrame(made, columns=["fps", "n", "odd", "digest"])
+            made.append((fps, c, d, len(held), np.packbits(odd.astype(np.uint8)).view("<i8"), xxh3_128_digest(held.tobytes())))
+        return pd.DataFrame(made, columns=["fps", "c", "d", "n", "odd", "digest"])
     return of(text)
 
 
 def similar(a: Column, b: Column, shingle: int = SIMILAR_SHINGLE) -> Column:
-    """Whether the sets of shingles of two texts have a Jaccard similarity of 0.8 or more (two empty sets have)."""
+    """Whether the sets of shingles of two texts have a Jaccard similarity of 0.8 or more (two empty sets have).
+
+    Pairs that come sorted by the first text have its set built once for all of them."""
     @pandas_udf("boolean")
     def of(left, right):
         import pandas as pd
@@ -164,57 +179,103 @@ def similar(a: Column, b: Column, shingle: int = SIMILAR_SHINGLE) -> Column:
             if one != last:
                 last, x = one, held(one)
             y = held(other)
-            made.append(5 * len(x & y) >= 4 * len(x | y))
+            shared = len(x & y)
+            made.append(5 * shared >= 4 * (len(x) + len(y) - shared))
         return pd.Series(made, dtype=bool)
     return of(a, b)
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of rows (``at fps n odd``) that may be similar: one of their fingerprints is within seven bits,
-    and neither the sizes of their sets nor the parities exclude 0.8.
+def _entries(nodes: DataFrame, width: int) -> DataFrame:
+    """A row per node and segment: ``base`` numbers the segment, ``value`` holds its ``width`` bits."""
+    segment = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("k")
+    value = F.expr(f"shiftrightunsigned(fps[k div 2], 32 * (k % 2)) & {(1 << width) - 1}L")
+    return nodes.select("at", "n", "c", "d", "root", "fps", segment).select(
+        "at", "n", "c", "d", "root", value.alias("value"), F.expr(f"k * {1 << width}L").alias("base"))
 
-    Seven bits over four segments of 16 leave one segment with one bit at most, so the one-bit balls of `links` find them all.
-    """
-    one = nodes.select("at", "n", F.posexplode("fps").alias("which", "fp"))
-    segment = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
-    value = F.expr("cast(shiftrightunsigned(fp, 16 * k) & 65535L as int)")
-    entries = one.select("at", "n", "which", "fp", segment).select("at", "n", "fp", value.alias("value"), F.expr("(which * 4 + k) * 65536").alias("base"))
-    table = entries.select(F.col("at").alias("b"), F.col("n").alias("m"), F.col("fp").alias("g"), (F.col("base") + F.col("value")).alias("slot"))
-    ball = F.expr("""concat(array(value), transform(filter(sequence(0, 15), i -> (shiftright(value, i) & 1) = 1),
-        i -> value - shiftleft(1, i)))""")
-    probes = entries.select(F.col("at").alias("a"), "n", "fp", "base", F.explode(ball).alias("v")).select(
-        "a", "n", "fp", (F.col("base") + F.col("v")).alias("s"))
-    met = probes.join(table.hint("merge"), (F.col("s") == F.col("slot")) & (F.col("a") != F.col("b"))
-                      & (F.bit_count(F.col("fp").bitwiseXOR(F.col("g"))) <= RADIUS)
-                      & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")))
-    pairs = saved(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+
+def _alike() -> Column:
+    """What both ends ``n c d`` and ``m e f`` of a pair must fulfil: sizes of sets that allow 0.8, and whole fingerprints within the radius."""
+    apart = F.bit_count(F.col("c").bitwiseXOR(F.col("e"))) + F.bit_count(F.col("d").bitwiseXOR(F.col("f")))
+    return (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & (apart <= RADIUS)
+
+
+def _with_one(nodes: DataFrame, width: int, seed: int) -> DataFrame:
+    """Pairs of each node with one row of each of its slots (equal segments), drawn anew by each seed: no more than
+    nodes times segments, however large a slot is."""
+    entries = _entries(nodes, width).withColumn("slot", F.col("base") + F.col("value"))
+    drawn = F.struct(F.xxhash64(F.lit(seed), "at").alias("draw"), "at", "n", "c", "d", "root")
+    # a slot's draw is a table of its own, so that the join can split a large slot
+    drawn = saved(entries.groupBy(F.col("slot").alias("s")).agg(F.min(drawn).alias("one"), F.count(F.lit(1)).alias("held")).where("held > 1").select(
+        "s", F.col("one.at").alias("b"), F.col("one.n").alias("m"), F.col("one.c").alias("e"), F.col("one.d").alias("f"), F.col("one.root").alias("r")), "near-drawn")
+    met = entries.join(drawn.hint("merge"), (F.col("slot") == F.col("s")) & (F.col("root") != F.col("r")) & _alike())
+    return met.select(F.least("at", "b").alias("a"), F.greatest("at", "b").alias("b")).distinct()
+
+
+def _rest(nodes: DataFrame, width: int) -> DataFrame:
+    """All pairs of different roots that agree in a segment up to one bit and are alike.
+
+    One side looks its segments up as they are, the other with one set bit cleared as well."""
+    entries = _entries(nodes, width)
+    table = entries.select(F.col("at").alias("b"), F.col("n").alias("m"), F.col("c").alias("e"), F.col("d").alias("f"), F.col("root").alias("r"),
+                           (F.col("base") + F.col("value")).alias("slot"))
+    ball = F.expr(f"""concat(array(value), transform(filter(sequence(0, {width - 1}), i -> (shiftright(value, i) & 1L) = 1L),
+        i -> value - shiftleft(1L, i)))""")
+    probes = entries.select("at", "n", "c", "d", "root", "base", F.explode(ball).alias("v")).select(
+        F.col("at").alias("a"), "n", "c", "d", "root", (F.col("base") + F.col("v")).alias("s"))
+    met = probes.join(table.hint("merge"), (F.col("s") == F.col("slot")) & (F.col("root") != F.col("r")) & _alike())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """The pairs ``a b`` whose parities and then whole sets of shingles leave a similarity of 0.8, as a written table."""
+    pairs = saved(pairs, "near-candidates")
     left = nodes.select(F.col("at").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
     right = nodes.select(F.col("at").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
     apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     # a similarity of 0.8 leaves a ninth of both sizes together as difference
-    return pairs.join(left, "a").join(right, "b").where(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b")
+    pairs = saved(pairs.join(left, "a").join(right, "b").where(9 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b"), "near-pairs")
+    met = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct()
+    texts = saved(rows.join(met, "at", "left_semi").select("at", F.coalesce(F.col("row")[text].cast("string"), F.lit("")).alias("t")), "near-texts")
+    both = pairs.join(texts.select(F.col("at").alias("b"), F.col("t").alias("u")), "b").join(texts.select(F.col("at").alias("a"), "t"), "a")
+    return saved(both.where(similar(F.col("t"), F.col("u"))).select("a", "b"), "near-links")
+
+
+def _rooted(nodes: DataFrame, found: list[DataFrame]) -> DataFrame:
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    roots = components(links, keep=saved).select("node", F.col("root").alias("to"))
+    return nodes.drop("root").join(roots, F.col("at") == F.col("node"), "left").withColumn("root", F.coalesce("to", "at")).drop("node", "to")
 
 
 def keep_unlike(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of texts that are linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, with
     the columns of the frame: the one with the smallest key (rows without a key come last; of rows that share it, exactly one stays).
 
-    Pairs are looked for among texts with a fingerprint (two of them, over runs of two words) within seven bits, and every
-    pair is confirmed by its whole sets of shingles, so no unlike text goes; what fingerprints do not bring together
-    stays. Texts with equal sets meet in a grouped minimum, so thousands of copies cost one entry. A-Z is lower-cased; a text
-    of fewer than five words is one shingle; a null text is empty, and texts without words are alike.
+    Texts meet in slots: eight segments of a fingerprint over runs of two words, with their one-bit balls; segments have 16 bits, and one
+    more each time the texts beyond 2**18 double, so a slot holds about as many at any size. Pairs are verified inside the join by the
+    whole fingerprints of their shingles (33 of 128 bits), then by parities, and confirmed by their whole sets, so no unlike text goes;
+    what no segment brings together stays. First, each slot compares all its texts with one of them, and what is confirmed is
+    joined, again with another draw while that confirms a pair for every hundred texts; then every pair of a slot is looked at that is not joined yet. A large group of
+    near copies so costs its size, not its square. Texts with equal sets meet in a grouped minimum before that. A-Z is
+    lower-cased; a text of fewer than five words is one shingle; a null text is empty, and texts without words are alike. An empty
+    table gives an empty table. Helper columns cannot clash with the frame's.
     """
     rows = df.select(whole_rows(df).alias("row"), name(key).alias("id"), text_or_empty(text).alias("t"))
     rows = rows.select("row", "id", sketches(F.col("t")).alias("of"), F.monotonically_increasing_id().alias("at"))
     rows = saved(rows.select("row", "id", "at", "of.*"), "near-rows")
     member = F.struct(F.col("id").isNull().alias("null"), "id", "at")
     nodes = rows.groupBy("digest").agg(F.min(member).alias("first")).select("first", F.col("first.at").alias("first_at"))
-    nodes = saved(nodes.join(rows.select("at", "fps", "n", "odd"), F.col("first_at") == F.col("at")).select("first", "at", "fps", "n", "odd"), "near-nodes")
-    pairs = saved(_candidates(nodes), "near-pairs")
-    met = pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct()
-    texts = saved(rows.join(met, "at", "left_semi").select("at", F.coalesce(F.col("row")[text].cast("string"), F.lit("")).alias("t")), "near-texts")
-    both = pairs.join(texts.select(F.col("at").alias("b"), F.col("t").alias("u")), "b").join(texts.select(F.col("at").alias("a"), "t"), "a")
-    found = components(both.where(similar(F.col("t"), F.col("u"))).select("a", "b"))
-    rooted = nodes.select("first", "at").join(found, F.col("at") == F.col("node"), "left").select("first", F.coalesce("root", "at").alias("root"))
-    stay = rooted.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.at").alias("a"))
-    return unfold(rows.join(stay, F.col("at") == F.col("a"), "left_semi"), "row", df.columns, [], [])
+    nodes = nodes.join(rows.select("at", "fps", "c", "d", "n", "odd"), F.col("first_at") == F.col("at"))
+    nodes = saved(nodes.select("first", "at", "fps", "c", "d", "n", "odd", F.col("at").alias("root")), "near-nodes")
+    texts = nodes.count()
+    width = min(32, max(16, texts.bit_length() - 2))
+    found, rooted = [], nodes
+    for seed in range(ROUNDS):
+        found.append(_confirmed(_with_one(rooted, width, seed), nodes, rows, text))
+        rooted = saved(_rooted(nodes, found), "near-rooted")
+        if 100 * found[-1].count() < texts:
+            break
+    found.append(_confirmed(_rest(rooted, width), nodes, rows, text))
+    least = _rooted(nodes, found).groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.at").alias("a"))
+    return unfold(rows.join(least, F.col("at") == F.col("a"), "left_semi"), "row", df.columns, [], [])
