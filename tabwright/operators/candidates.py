@@ -10,17 +10,31 @@ bound on letter pairs is empty and single letters take their place.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
-from typing import NamedTuple
+from typing import TYPE_CHECKING, NamedTuple
+from zlib import crc32
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.similarity import similarity
-from .stable import broadcast_if_small, stable
+
+if TYPE_CHECKING:
+    import pyarrow as pa
+
+# ship the grams with their tasks, so that executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SLACK = 1e-9
+#: Buckets in which the frequencies of grams are counted.
+BUCKETS = 1 << 16
 
 
 class View(NamedTuple):
@@ -75,11 +89,7 @@ def _needed(view: View, n: Column, t: float) -> Column:
 
 
 def _cut(nodes: DataFrame, view: View, number: int, t: float, left: bool) -> DataFrame:
-    """(view, id, block, n, total, keep, g): the grams of every text as one view sees it.
-
-    ``keep`` is how many of the rarest grams are joined on. The text itself stays behind, so that a long
-    text is not copied along with each of its grams.
-    """
+    """(view, id, block, n, total, keep, seen): every text as one view sees it. ``keep`` is how many of its rarest grams are joined on."""
     s, n = F.col("_s"), F.length("_s")
     base = nodes.withColumn("_s", view.string).filter(n > 0)
     prefixed = view.prefix_left if left else view.prefix_right
@@ -88,32 +98,60 @@ def _cut(nodes: DataFrame, view: View, number: int, t: float, left: bool) -> Dat
         by_pairs = n * (4 * t - 3) - 1 >= 1
         base = base.filter(by_pairs if view.pairs else ~by_pairs)
     padded = F.concat(F.lit(" "), s, F.lit(" ")) if view.padded else s
-    width = 2 if view.pairs else 1
-    total = n + (2 if view.padded else 0) - (width - 1)
+    total = n + (2 if view.padded else 0) - (1 if view.pairs else 0)
     keep = F.greatest(total - _needed(view, n, t) + 1, F.lit(0)).cast("int") if prefixed else total
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(total, F.lit(1))),
-                        lambda i: F.substring(padded, i, F.lit(width)))
     return base.filter(total >= 1).select(F.lit(number).alias("view"), "id", "block", n.alias("n"),
-                                          total.alias("total"), keep.alias("keep"), F.explode(grams).alias("g"))
-
-
-def _numbered(nodes: DataFrame, views: list[View], t: float, left: bool) -> DataFrame:
-    """The grams of all views, the repeats within a text numbered."""
-    cut = reduce(DataFrame.unionAll, [_cut(nodes, v, i, t, left) for i, v in enumerate(views)])
-    node = ["view", "id", "block", "n", "total", "keep"]
-    counted = cut.groupBy(*node, "g").agg(F.count(F.lit(1)).alias("k"))
-    return counted.select(*node, "g", F.explode(F.sequence(F.lit(1).cast("bigint"), "k")).alias("k")).select(
-        *node, F.concat("g", F.col("k").cast("string")).alias("gram"))
-
-
-def _index(grams: DataFrame, frequency: DataFrame, side: str) -> DataFrame:
-    """The rarest grams of each text, as many as needed, with their place."""
-    node = ["view", "id", "block", "n", "total", "keep"]
-    lists = grams.join(frequency, ["view", "gram"]).groupBy(*node).agg(
-        F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("order"))
-    placed = lists.select(*node, F.posexplode(F.slice("order", F.lit(1), F.col("keep"))).alias("place", "_g"))
-    return placed.select("view", "block", F.col("_g.gram").alias("gram"),
-                         *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "total", "place")])
+                                          total.alias("total"), keep.alias("keep"), padded.alias("seen"))
+
+
+def _grams(text: str, width: int) -> list[str]:
+    """The letter pairs (or letters) of a text, repeats numbered."""
+    met: dict[str, int] = {}
+    made = []
+    for i in range(len(text) - width + 1):
+        gram = text[i:i + width]
+        met[gram] = k = met.get(gram, 0) + 1
+        made.append(f"{gram}{k}")
+    return made
+
+
+def _bucket(gram: str) -> int:
+    return crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def _frequencies(cut: DataFrame, widths: list[int]) -> np.ndarray:
+    """How many grams of each view fall into each bucket: a table of fixed size, whatever the texts. Every task counts
+    its own, and Spark adds them up."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        made = np.zeros((len(widths), BUCKETS), dtype=np.int64)
+        for batch in batches:
+            for view, text in zip(batch.column("view").to_pylist(), batch.column("seen").to_pylist()):
+                np.add.at(made[view], [_bucket(g) for g in _grams(text, widths[view])], 1)
+        at = np.flatnonzero(made)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "f": pa.array(made.ravel()[at], pa.int64())})
+
+    made = np.zeros(len(widths) * BUCKETS, dtype=np.int64)
+    for at, f in cut.select("view", "seen").mapInArrow(count, "at bigint, f bigint").groupBy("at").agg(F.sum("f")).collect():
+        made[at] = f
+    return made.reshape(len(widths), BUCKETS)
+
+
+def _index(cut: DataFrame, frequency: Broadcast, widths: list[int], side: str) -> DataFrame:
+    """The rarest grams of each text, as many as needed, with their place. They are chosen within the row: any order that
+    both sides share will do, so it goes by the frequency of the gram's bucket. Only these grams become rows."""
+    @F.pandas_udf("array<struct<gram: string, place: int>>")
+    def rarest(view: pd.Series, text: pd.Series, keep: pd.Series) -> pd.Series:
+        made = []
+        for v, t, k in zip(view, text, keep):
+            f = frequency.value[v]
+            order = sorted([(f[_bucket(g)], g) for g in _grams(t, widths[v])])[:k]
+            made.append([{"gram": g, "place": i} for i, (_, g) in enumerate(order)])
+        return pd.Series(made, dtype=object)
+
+    placed = cut.filter("keep > 0").select("view", "block", "id", "n", "total", F.explode(rarest("view", "seen", "keep")).alias("_g"))
+    return placed.select("view", "block", F.col("_g.gram").alias("gram"), F.col("_g.place").alias(f"place_{side}"),
+                         *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "total")])
 
 
 def _possible(view: View, t: float) -> Column:
@@ -160,12 +198,11 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: int, method: str
         raise ValueError(f"method must be one of {C.METHODS}, not {method!r}")
     t = (threshold - 0.5) / 100
     views = _views(method, t, compact)
-    grams_a, grams_b = _numbered(left, views, t, True), _numbered(right, views, t, False)
-    # one row per distinct gram: counted first, and only then broadcast, so that common grams are not shuffled
-    frequency = broadcast_if_small(stable(
-        grams_a.select("view", "gram").unionAll(grams_b.select("view", "gram")).groupBy("view", "gram")
-        .agg(F.count(F.lit(1)).alias("f"))))
-    met = _index(grams_a, frequency, "a").join(_index(grams_b, frequency, "b"), ["view", "block", "gram"])
+    widths = [2 if v.pairs else 1 for v in views]
+    cut_a, cut_b = [reduce(DataFrame.unionAll, [_cut(nodes, v, i, t, is_left) for i, v in enumerate(views)])
+                    for nodes, is_left in ((left, True), (right, False))]
+    frequency = left.sparkSession.sparkContext.broadcast(_frequencies(cut_a.unionAll(cut_b), widths))
+    met = _index(cut_a, frequency, widths, "a").join(_index(cut_b, frequency, widths, "b"), ["view", "block", "gram"])
     if ordered:
         met = met.filter("id_a < id_b")
     hopeful = reduce(lambda test, i: test.when(F.col("view") == i, _possible(views[i], t)), range(len(views)), F)

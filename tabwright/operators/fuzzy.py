@@ -12,6 +12,7 @@ from ..functions.equality import values_equal
 from ..functions.text import col, match_text_of, norm_text, typed, value_text
 from .assign import MOST_IN_TASK, assign
 from .candidates import similar_texts
+from .closest import closest_texts
 from .compare import _difference_rows, common_columns
 from .rows import ROW, data_columns, ensure_rows
 from .stable import stable
@@ -32,20 +33,14 @@ def _groups(side: DataFrame) -> DataFrame:
     return stable(made.withColumn("id", F.monotonically_increasing_id()))
 
 
-# scores down to which the closest text of an unmatched one is searched, step by step; letter pairs narrow the search
-# down to the first, and only what found nothing goes on to the next
-LEVELS = (76, 45, 1)
-
-
 class FuzzyComparison:
     """Pair rows of A and B whose key text is similar (0 to 100), best pairs first, each row at most once.
 
     Only rows that agree on the ``must_match`` columns are compared. ``pairs`` are the matched row numbers;
     ``matches``, ``diffs``, ``only_a``, ``only_b`` and ``stats`` are built when asked for. Rows left over
-    come with the closest text of the other table, used or not. It is found by lowering the threshold in
-    steps for the texts that still lack one; ``closest_from`` ends that search at a score. 76 is the last
-    that letter pairs narrow down. 0, the default, finds the closest text of every row, however little it resembles: what
-    resembles nothing is then compared with all of its block that shares a letter, so large tables should set a bound.
+    come with the closest text of the other table, used or not. It is found among the texts of its block by a search that leaves out
+    whatever its letters keep from being closer (`closest_texts`). ``closest_from`` leaves out closest texts below a score; 0, the
+    default, gives every row one, however little it resembles.
     """
 
     def __init__(self, a: DataFrame, b: DataFrame, key_a: Sequence[str], key_b: Sequence[str],
@@ -150,19 +145,17 @@ class FuzzyComparison:
     def _left_over(self, label: str) -> DataFrame:
         if label == "a":
             return _unmatched(self.a, self.members_a, self.pairs.select(F.col("row_a").alias("row")), self.nodes_a,
-                              self.nodes_b, self.edges, "a", self.b, self.key_b, self.threshold, self.method,
-                              self.closest_from)
+                              self.nodes_b, self.edges, "a", self.b, self.key_b, self.method, self.closest_from)
         return _unmatched(self.b, self.members_b, self.pairs.select(F.col("row_b").alias("row")), self.nodes_b,
-                          self.nodes_a, self.edges, "b", self.a, self.key_a, self.threshold, self.method,
-                          self.closest_from)
+                          self.nodes_a, self.edges, "b", self.a, self.key_a, self.method, self.closest_from)
 
 
 fuzzy_compare = FuzzyComparison
 
 
 def _unmatched(df: DataFrame, members: DataFrame, used: DataFrame, nodes: DataFrame, others: DataFrame,
-               edges: DataFrame, label: str, other: DataFrame, other_keys: Sequence[str], threshold: int,
-               method: str, floor: int) -> DataFrame:
+               edges: DataFrame, label: str, other: DataFrame, other_keys: Sequence[str], method: str,
+               floor: int) -> DataFrame:
     mine, theirs = ("id_a", "id_b") if label == "a" else ("id_b", "id_a")
     rows = df.select(F.col(ROW).cast("bigint").alias("row")).join(used, "row", "left_anti")
     left = stable(rows.join(members.select("row", "id"), "row", "left"))
@@ -176,23 +169,10 @@ def _unmatched(df: DataFrame, members: DataFrame, used: DataFrame, nodes: DataFr
                 .agg(F.max(F.struct("score", (-F.col("_first")).alias("_neg"))).alias("_top"))
                 .select("id", F.col("_top.score").alias("closest_pct"), (-F.col("_top._neg")).alias("_row_b")))
 
-    found = best(edges.join(wanted.withColumnRenamed("id", mine), mine, "left_semi"))
-    for level in sorted({max(level, floor, 1) for level in LEVELS}, reverse=True):
-        if level >= threshold:
-            continue
-        found = stable(found)
-        open_nodes = stable(open_nodes.join(found, "id", "left_anti"))
-        if open_nodes.isEmpty():
-            break
-        pair = (open_nodes, others) if label == "a" else (others, open_nodes)
-        found = found.unionAll(best(similar_texts(*pair, level, method)))
-    if floor <= 0:
-        # nothing in common with any text of the block: the block's first row, score 0
-        found = stable(found)
-        first = others.groupBy("block").agg(F.min("first_row").alias("_row_b"))
-        rest = open_nodes.join(found, "id", "left_anti").join(first, "block").select(
-            "id", F.lit(0).alias("closest_pct"), "_row_b")
-        found = found.unionAll(rest)
+    found = stable(best(edges.join(wanted.withColumnRenamed("id", mine), mine, "left_semi")))
+    # the others have no text at the threshold; they look for the closest below it
+    nearest = closest_texts(open_nodes.join(found, "id", "left_anti"), others, method)
+    found = found.unionAll(nearest.where(F.col("score") >= floor).select("id", F.col("score").alias("closest_pct"), F.col("row").alias("_row_b")))
     shown = F.concat_ws(" / ", *[F.coalesce(value_text(*typed(other, k)), F.lit("nan")) for k in other_keys])
     texts = other.select(F.col(ROW).cast("bigint").alias("_row_b"), shown.alias("closest"))
     near = found.join(texts, "_row_b").select("id", "closest", "closest_pct")

@@ -149,3 +149,75 @@ def test_an_empty_key_column_in_the_middle_hides_no_match(spark):
     a = spark.createDataFrame([(0, "Smith", None, "John")], "_row bigint, x string, y string, z string")
     b = spark.createDataFrame([(0, "john smith")], "_row bigint, n string")
     assert [tuple(r) for r in fuzzy_compare(a, b, ["x", "y", "z"], ["n"], threshold=97).pairs.collect()] == [(0, 0, 100)]
+
+
+def test_batches_score_like_single_pairs():
+    import random
+    import sys
+    scoring = sys.modules["tabwright.functions.similarity"]
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdé😀", k=rng.randrange(1, 9))) for _ in range(rng.choice([0, 1, 2, 4, 25]))) for _ in range(600)]
+    others = [t if rng.random() < 0.2 else rng.choice(texts) for t in texts]
+    pairs = list(zip(texts, others))
+    assert scoring.lcs_lengths(texts, others).tolist() == [lcs_length(x, y) for x, y in pairs]
+    assert scoring.ratios(texts, others).tolist() == [ratio(x, y) for x, y in pairs]
+    assert scoring.set_ratios(texts, others).tolist() == [token_set(x, y) for x, y in pairs]
+    assert scoring.partial_ratios(texts[:150], others[:150]).tolist() == [partial(x, y) for x, y in pairs[:150]]
+
+
+def test_similarity_of_columns_scores_like_single_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tabwright.functions import similarity
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdé", k=rng.randrange(1, 7))) for _ in range(rng.choice([0, 1, 2, 4]))) for _ in range(300)]
+    rows = [(t, rng.choice([t, *texts])) for t in texts]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for method in ("token_sort", "token_set", "simple", "partial"):
+        got = [r[0] for r in df.select(similarity(F.col("a"), F.col("b"), method)).collect()]
+        assert got == [score_pair(a, b, method) for a, b in rows]
+
+
+def closest_plain(nodes, others, method):
+    made = {}
+    for i, block, text in nodes:
+        if held := [(-score_pair(text, t, method), row) for _, b, t, row in others if b == block]:
+            made[i] = (-min(held)[0], min(held)[1])
+    return made
+
+
+def test_closest_texts_equal_all_pairs(spark, monkeypatch):
+    import random
+
+    from tabwright.operators import closest
+    monkeypatch.setattr(closest, "CHUNK", 20)
+    monkeypatch.setattr(closest, "GROUP", 4)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("aabcdexyz", k=rng.randrange(1, 8)))       # noqa: E731
+    make = lambda n: [(i, rng.choice(["", "p", "q"][:1 + i % 3]), " ".join(word() for _ in range(rng.randrange(1, 5)))) for i in range(n)]
+    nodes, others = make(60) + [(60, "none", "a"), (61, "", "ÿÿÿ")], [(*o, (o[0] * 37) % 150) for o in make(150)]
+    a = spark.createDataFrame(nodes, "id int, block string, text string")
+    b = spark.createDataFrame(others, "id int, block string, text string, first_row int")
+    for method in ("token_sort", "token_set", "simple", "partial"):
+        got = {r["id"]: (r["score"], r["row"]) for r in closest.closest_texts(a, b, method).collect()}
+        assert got == closest_plain(nodes, others, method)
+
+
+def test_closest_texts_score_few_pairs():
+    import random
+
+    import numpy as np
+
+    from tabwright.operators import closest
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(200)]
+    share = []
+    for size in (500, 5000):
+        texts = sorted(" ".join(rng.choices(words, k=3)) for _ in range(size))
+        asked = [t[:-2] + "zz" for t in rng.sample(texts, 100)]
+        best, rows = np.zeros(100, dtype=np.int64), np.zeros(100, dtype=np.int64)
+        share.append(closest.closest_in(closest.Seen(asked, "simple"), best, rows, closest.Seen(texts, "simple"), np.arange(size)) / size / 100)
+        assert best.min() >= 80
+    assert share[1] < share[0] < 0.3
