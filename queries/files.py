@@ -4,6 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tabwright.functions.text import col
+from tabwright.operators import check_quality
 from tabwright.operators.stable import scratch_folder
 from tabwright.sources import append_run_log, load_table, save_table, write_results
 from tabwright.streaming import append_problems, clean_rows
@@ -59,6 +61,28 @@ def _stream_clean(spark, folder):
     return made.select("customer_no", "segment", "balance")
 
 
+def _second_header(spark, folder):
+    """A file whose header names one column twice, read back, and what the quality check says of it."""
+    c = read(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("nation "))
+    path = _folder(spark) + "/twice_csv"
+    c.write.option("header", True).csv(path)
+    made = load_table(spark, path, "csv", order_by=["c_custkey"])
+    issues = check_quality(made).issues.where("code = 'second_header'")
+    cells = made.select(F.lit("cells").alias("item"), F.concat_ws(" ", "c_custkey", "nation", col("nation.1")).alias("value"))
+    return cells.unionAll(issues.select(F.lit("issue"), F.concat_ws(" ", "code", "column")))
+
+
+def _tsv_quoted(spark, folder):
+    """Tab-separated files with line breaks and inch marks in their cells."""
+    part = read(spark, folder, "part")
+    name = F.when(F.col("p_partkey") % 50 == 7, F.concat("p_name", F.lit("\n"), "p_type")).when(
+        F.col("p_partkey") % 50 == 8, F.concat("p_name", F.lit(' 12" wide'))).otherwise(F.col("p_name"))
+    path = _folder(spark) + "/parts_tsv"
+    part.select("p_partkey", name.alias("name"), "p_size").repartition(4, "p_size").write.option("header", True).option(
+        "sep", "\t").option("escape", '"').csv(path)
+    return load_table(spark, path, "tsv", order_by=["p_partkey"]).select("p_partkey", "name", "p_size")
+
+
 QUERIES = {
     "csv_round_trip": (_csv, """SELECT o_orderkey AS _row, o_orderkey, o_totalprice, CASE o_orderkey % 6
         WHEN 0 THEN printf('%.2f', o_totalprice) WHEN 1 THEN printf('%,.2f', o_totalprice)
@@ -75,6 +99,10 @@ QUERIES = {
         CAST(o_totalprice AS VARCHAR) AS value, 'Must be at most 450000' AS problem FROM orders WHERE o_totalprice > 450000
         UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus, 'Not an allowed value (F, O)' FROM orders
         WHERE o_orderstatus NOT IN ('F', 'O')"""),
+    "second_header": (_second_header, """SELECT 'cells' AS item, concat_ws(' ', c_custkey, c_nationkey, c_mktsegment) AS value FROM customer
+        UNION ALL SELECT 'issue', 'second_header nation.1'"""),
+    "tsv_quoted_breaks": (_tsv_quoted, """SELECT p_partkey, CASE p_partkey % 50 WHEN 7 THEN p_name || chr(10) || p_type
+        WHEN 8 THEN p_name || ' 12" wide' ELSE p_name END AS name, p_size::BIGINT AS p_size FROM part"""),
     "clean_rows": (_stream_clean, """SELECT c_custkey AS customer_no, CASE WHEN c_custkey % 10 <> 0 THEN c_mktsegment END AS segment,
         c_acctbal AS balance FROM customer"""),
 }

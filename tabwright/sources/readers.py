@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import PLAIN_NUMBER
@@ -35,37 +36,64 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return max(SEPARATORS, key=bare.count)
 
 
-def profile_text(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """Encoding and whether line breaks occur inside quotes, from one distributed pass.
+def profile_text(spark: SparkSession, path: str) -> tuple[str, list[str]]:
+    """Encoding, and the files that may have line breaks inside quotes, from one distributed pass.
 
-    UTF-8 when every line is valid UTF-8, else Arabic Windows. A line with an odd number of quotes opens or closes
-    a cell that goes on over its end.
+    UTF-8 when every line is valid UTF-8, else Arabic Windows. A cell that goes on over the line's end leaves its line an odd
+    number of quotes, one of them at the start of a cell; a quote amid a cell alone, as an inch mark, is none.
     """
-    odd = F.regexp_count("value", F.lit('"')) % 2 == 1
-    seen = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8("value")).alias("broken"), F.bool_or(odd).alias("odd")).first()
-    return ARABIC_WINDOWS if seen["broken"] else "UTF-8", bool(seen["odd"])
+    odd = (F.regexp_count("value", F.lit('"')) % 2 == 1) & F.col("value").rlike(r'(?:^|[,;|\t])"|"(?:\r?$|[,;|\t])')
+    seen = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).groupBy("file").agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("broken"), F.bool_or(odd).alias("odd"))
+    told = seen.where("broken or odd").collect()            # one row per file that stands out
+    return ARABIC_WINDOWS if any(r["broken"] for r in told) else "UTF-8", sorted(r["file"] for r in told if r["odd"])
 
 
 def find_encoding(spark: SparkSession, path: str) -> str:
     return profile_text(spark, path)[0]
 
 
+def header_names(cells: Sequence[str], read_as: Sequence[str]) -> list[str]:
+    """Column names of a header: a name that was there before gets ``.1``, ``.2`` and so on; an empty cell keeps the name it was read as."""
+    met: set[str] = set()
+    names = []
+    for cell, given in zip(cells, read_as):
+        name, k = cell or given, 0
+        while name.lower() in met:
+            k += 1
+            name = f"{cell or given}.{k}"
+        met.add(name.lower())
+        names.append(name)
+    return names
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
                    multi_line: bool | None = None, infer: bool = True) -> DataFrame:
     """CSV, TXT or TSV as text first, so codes keep their leading zeros; then number columns are typed.
 
-    ``multi_line`` allows line breaks inside quotes, at the price of one task per file; None: where they occur.
+    ``multi_line`` allows line breaks inside quotes, at the price of one task per file; None: in the files where they may
+    occur, while the others are split. Columns of one name are told apart by ``.1``.
     """
+    several: list[str] = []
     if encoding is None or multi_line is None:
-        found, broken_lines = profile_text(spark, path)
-        encoding, multi_line = encoding or found, broken_lines if multi_line is None else multi_line
+        found, several = profile_text(spark, path)
+        encoding = encoding or found
+    sep = sep or sniff_separator(spark, path)
     arabic = encoding == ARABIC_WINDOWS
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=sep or sniff_separator(spark, path), quote='"',
-                        escape='"', multiLine=multi_line, encoding="ISO-8859-1" if arabic else encoding)
+    options = dict(inferSchema=False, sep=sep, quote='"', escape='"', encoding="ISO-8859-1" if arabic else encoding)
+    whole = bool(several) if multi_line is None else multi_line
+    df = spark.read.csv(path, header=True, multiLine=whole, **options)
+    if multi_line is None and several:
+        plain = spark.read.schema(df.schema).csv(path, header=True, **options).where(~F.col("_metadata.file_path").isin(several))
+        df = plain.unionAll(spark.read.schema(df.schema).csv(path, header=True, multiLine=True, **options).where(
+            F.col("_metadata.file_path").isin(several)))
+    head = spark.read.csv(path, header=False, multiLine=whole, **options).first()
+    names = header_names(head or df.columns, df.columns)
     if arabic:
-        names = [c.translate(str.maketrans(_SEEN, _MEANT)) for c in df.columns]
-        df = df.select(*[F.translate(col(c), _SEEN, _MEANT).alias(n) for c, n in zip(df.columns, names)])
-    df = df.select(*[F.when(~col(c).isin(MISSING), col(c)).alias(c.lstrip("﻿")) for c in df.columns])
+        names = [c.translate(str.maketrans(_SEEN, _MEANT)) for c in names]
+        df = df.select(*[F.translate(col(c), _SEEN, _MEANT).alias(c) for c in df.columns])
+    df = df.toDF(*[c.lstrip("﻿") for c in names])
+    df = df.select(*[F.when(~col(c).isin(MISSING), col(c)).alias(c) for c in df.columns])
     return infer_numbers(df) if infer else df
 
 
@@ -91,7 +119,9 @@ def infer_numbers(df: DataFrame) -> DataFrame:
 
 def tidy_table(df: DataFrame, order_by=None) -> DataFrame:
     """Trim column names, drop rows and columns without any value, then number the rows (``_row``)."""
-    df = df.toDF(*[c.strip() for c in df.columns]).na.drop("all")
+    df = df.toDF(*header_names([c.strip() for c in df.columns], df.columns))
+    some = [col(c).isNotNull() & ~F.isnan(col(c)) if t in ("double", "float") else col(c).isNotNull() for c, t in df.dtypes]
+    df = df.where(reduce(Column.__or__, some, F.lit(False)))
     filled = df.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
     keep = [c for i, c in enumerate(df.columns) if filled[f"c{i}"]]
     return with_row_number(df.select(*[col(c) for c in keep]), order_by)

@@ -291,3 +291,16 @@ def test_line_breaks_in_quotes_and_file_order(spark, tmp_path):
     assert load_table(spark, str(folder)).where("n <> _row").count() == 0
     (tmp_path / "t.tsv").write_text("x\ty\n1\ta,b\n")
     assert tuple(load_table(spark, str(tmp_path / "t.tsv")).first()) == (1, "a,b", 0)
+
+
+def test_headers_and_breaks_of_files(spark, tmp_path):
+    from tabwright.sources import load_table
+    from tabwright.sources.readers import header_names, profile_text
+    (tmp_path / "a.csv").write_text('a,a,b,A\n1,2,"x\ny",4\n5,6,z,8\n')
+    (tmp_path / "b.csv").write_text('a,a,b,A\n9,10,12" pipe,12\n13,14,"q, ""r""",16\n')
+    assert [f.rsplit("/", 1)[1] for f in profile_text(spark, str(tmp_path))[1]] == ["a.csv"]
+    made = load_table(spark, str(tmp_path), "csv", order_by=["a"])
+    assert sorted(c for c in made.columns if c != "_row") == ["A.2", "a", "a.1", "b"]
+    assert [(r["a"], r["a.1"], r["b"], r["A.2"]) for r in made.orderBy("a").collect()] == [
+        (1, 2, "x\ny", 4), (5, 6, "z", 8), (9, 10, '12" pipe', 12), (13, 14, 'q, "r"', 16)]
+    assert header_names(["x", "", "x", "x.1"], ["_c0", "_c1", "_c2", "_c3"]) == ["x", "_c1", "x.1", "x.1.1"]
