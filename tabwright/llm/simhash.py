@@ -12,7 +12,7 @@ from .common import name, saved, text_or_empty, unfold, whole_rows
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 #: Of `keep_unlike`: words of a shingle, words of a run, segments of the runs' fingerprint, bits by which the shingles'
 #: fingerprints may differ (of 128), bits of the parities, and rounds that compare with one row of each slot, at most.
-SIMILAR_SHINGLE, RUN, SEGMENTS, RADIUS, PARITIES, ROUNDS = 5, 2, 6, 30, 1024, 8
+SIMILAR_SHINGLE, RUN, SEGMENTS, RADIUS, PARITIES, ROUNDS = 5, 2, 8, 30, 1024, 8
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
@@ -255,7 +255,7 @@ def keep_unlike(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """One row of each group of texts that are linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, with
     the columns of the frame: the one with the smallest key (rows without a key come last; of rows that share it, exactly one stays).
 
-    Texts meet in slots: six segments of a fingerprint over runs of two words, with their one-bit balls; segments have 16 bits, and one
+    Texts meet in slots: eight segments of a fingerprint over runs of two words, with their one-bit balls; segments have 16 bits, and one
     more each time the texts beyond 2**18 double, so a slot holds about as many at any size. Pairs are verified inside the join by the
     whole fingerprints of their shingles (30 of 128 bits) and parities of 128 residues, then by 1,024 parities, and confirmed by their whole sets, so no unlike text goes;
     what no segment brings together stays. First, each slot compares all its texts with one of them, and what is confirmed is
