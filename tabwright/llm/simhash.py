@@ -12,7 +12,7 @@ from .common import name, saved, text_or_empty, unfold, whole_rows
 DISTANCE, SHINGLE, SEED = 3, 3, 42
 #: Of `keep_unlike`: words of a shingle, words of a run, segments of the runs' fingerprint, bits by which the shingles'
 #: fingerprints may differ (of 128), bits of the parities, and rounds that compare with one row of each slot, at most.
-SIMILAR_SHINGLE, RUN, SEGMENTS, RADIUS, PARITIES, ROUNDS = 5, 2, 8, 30, 1024, 8
+SIMILAR_SHINGLE, RUN, SEGMENTS, RADIUS, PARITIES, ROUNDS = 5, 2, 8, 40, 1024, 8
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
@@ -185,32 +185,41 @@ def similar(a: Column, b: Column, shingle: int = SIMILAR_SHINGLE) -> Column:
     return of(a, b)
 
 
+#: What a row of a slot carries: its text and component, and what is compared inside the join.
+PARTS = ["p0", "p1", "p2", "p3"]
+CARRIED = ["at", "root", "n", "c", "d", *PARTS]
+
+
 def _entries(nodes: DataFrame, width: int) -> DataFrame:
     """A row per node and segment: ``base`` numbers the segment, ``value`` holds its ``width`` bits."""
     segment = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("k")
     value = F.expr(f"shiftrightunsigned(fps[k div 2], 32 * (k % 2)) & {(1 << width) - 1}L")
-    return nodes.select("at", "n", "c", "d", "p", "q", "root", "fps", segment).select(
-        "at", "n", "c", "d", "p", "q", "root", value.alias("value"), F.expr(f"k * {1 << width}L").alias("base"))
+    return nodes.select(*CARRIED, "fps", segment).select(*CARRIED, value.alias("value"), F.expr(f"k * {1 << width}L").alias("base"))
+
+
+def _met(entries: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs of different components in one ``slot`` that are alike, of the carried columns and those of ``others``.
 
+    Alike are sizes of sets that allow 0.8, whole fingerprints within the radius, and parities of 256 residues that allow 0.8 (a
+    similarity of 0.8 leaves a ninth of both sizes together as difference)."""
+    def bits(names):
+        return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
 
-def _alike() -> Column:
-    """What both ends ``n c d p q`` and ``m e f g h`` of a pair must fulfil: sizes of sets that allow 0.8, whole fingerprints within
-    the radius, and parities of 128 residues that allow 0.8 (a similarity of 0.8 leaves a ninth of both sizes together as difference)."""
-    apart = F.bit_count(F.col("c").bitwiseXOR(F.col("e"))) + F.bit_count(F.col("d").bitwiseXOR(F.col("f")))
-    odd = F.bit_count(F.col("p").bitwiseXOR(F.col("g"))) + F.bit_count(F.col("q").bitwiseXOR(F.col("h")))
-    return (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")) & (apart <= RADIUS) & (9 * odd <= F.col("n") + F.col("m"))
+    others = others.select(F.col("slot").alias("slot_b"), *[F.col(c).alias(f"{c}_b") for c in CARRIED])
+    alike = ((5 * F.least("n", "n_b") >= 4 * F.greatest("n", "n_b")) & (bits("cd") <= RADIUS)
+             & (9 * bits(PARTS) <= F.col("n") + F.col("n_b")))
+    met = entries.join(others.hint("merge"), (F.col("slot") == F.col("slot_b")) & (F.col("root") != F.col("root_b")) & alike)
+    return met.select(F.least("at", "at_b").alias("a"), F.greatest("at", "at_b").alias("b")).distinct()
 
 
 def _with_one(nodes: DataFrame, width: int, seed: int) -> DataFrame:
     """Pairs of each node with one row of each of its slots (equal segments), drawn anew by each seed: no more than
     nodes times segments, however large a slot is."""
     entries = _entries(nodes, width).withColumn("slot", F.col("base") + F.col("value"))
-    drawn = F.struct(F.xxhash64(F.lit(seed), "at").alias("draw"), "at", "n", "c", "d", "p", "q", "root")
+    drawn = F.struct(F.xxhash64(F.lit(seed), "at").alias("draw"), *CARRIED)
+    drawn = entries.groupBy("slot").agg(F.min(drawn).alias("one"), F.count(F.lit(1)).alias("held")).where("held > 1")
     # a slot's draw is a table of its own, so that the join can split a large slot
-    drawn = saved(entries.groupBy(F.col("slot").alias("s")).agg(F.min(drawn).alias("one"), F.count(F.lit(1)).alias("held")).where("held > 1").select(
-        "s", F.col("one.at").alias("b"), F.col("one.n").alias("m"), F.col("one.c").alias("e"), F.col("one.d").alias("f"), F.col("one.p").alias("g"), F.col("one.q").alias("h"), F.col("one.root").alias("r")), "near-drawn")
-    met = entries.join(drawn.hint("merge"), (F.col("slot") == F.col("s")) & (F.col("root") != F.col("r")) & _alike())
-    return met.select(F.least("at", "b").alias("a"), F.greatest("at", "b").alias("b")).distinct()
+    return _met(entries, saved(drawn.select("slot", *[F.col("one")[c].alias(c) for c in CARRIED]), "near-drawn"))
 
 
 def _rest(nodes: DataFrame, width: int) -> DataFrame:
@@ -218,15 +227,11 @@ def _rest(nodes: DataFrame, width: int) -> DataFrame:
 
     One side looks its segments up as they are, the other with one set bit cleared as well."""
     entries = _entries(nodes, width)
-    table = entries.select(F.col("at").alias("b"), F.col("n").alias("m"), F.col("c").alias("e"), F.col("d").alias("f"), F.col("p").alias("g"), F.col("q").alias("h"),
-                           F.col("root").alias("r"),
-                           (F.col("base") + F.col("value")).alias("slot"))
+    table = entries.select(*CARRIED, (F.col("base") + F.col("value")).alias("slot"))
     ball = F.expr(f"""concat(array(value), transform(filter(sequence(0, {width - 1}), i -> (shiftright(value, i) & 1L) = 1L),
         i -> value - shiftleft(1L, i)))""")
-    probes = entries.select("at", "n", "c", "d", "p", "q", "root", "base", F.explode(ball).alias("v")).select(
-        F.col("at").alias("a"), "n", "c", "d", "p", "q", "root", (F.col("base") + F.col("v")).alias("s"))
-    met = probes.join(table.hint("merge"), (F.col("s") == F.col("slot")) & (F.col("root") != F.col("r")) & _alike())
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    probes = entries.select(*CARRIED, "base", F.explode(ball).alias("v")).select(*CARRIED, (F.col("base") + F.col("v")).alias("slot"))
+    return _met(probes, table)
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
@@ -257,7 +262,7 @@ def keep_unlike(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     Texts meet in slots: eight segments of a fingerprint over runs of two words, with their one-bit balls; segments have 16 bits, and one
     more each time the texts beyond 2**18 double, so a slot holds about as many at any size. Pairs are verified inside the join by the
-    whole fingerprints of their shingles (30 of 128 bits) and parities of 128 residues, then by 1,024 parities, and confirmed by their whole sets, so no unlike text goes;
+    whole fingerprints of their shingles (40 of 128 bits) and parities of 256 residues, then by 1,024 parities, and confirmed by their whole sets, so no unlike text goes;
     what no segment brings together stays. First, each slot compares all its texts with one of them, and what is confirmed is
     joined, again with another draw while that confirms a pair for every hundred texts; then every pair of a slot is looked at that is not joined yet. A large group of
     near copies so costs its size, not its square. Texts with equal sets meet in a grouped minimum before that. A-Z is
@@ -270,7 +275,9 @@ def keep_unlike(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     member = F.struct(F.col("id").isNull().alias("null"), "id", "at")
     nodes = rows.groupBy("digest").agg(F.min(member).alias("first")).select("first", F.col("first.at").alias("first_at"))
     nodes = nodes.join(rows.select("at", "fps", "c", "d", "n", "odd"), F.col("first_at") == F.col("at"))
-    folded = [F.aggregate(F.slice("odd", 1 + 8 * k, 8), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseXOR(y)).alias(c) for k, c in enumerate("pq")]
+    each = PARITIES // 64 // len(PARTS)
+    folded = [F.aggregate(F.slice("odd", 1 + each * k, each), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseXOR(y)).alias(c)
+              for k, c in enumerate(PARTS)]
     nodes = saved(nodes.select("first", "at", "fps", "c", "d", "n", "odd", *folded, F.col("at").alias("root")), "near-nodes")
     texts = nodes.count()
     width = min(32, max(16, texts.bit_length() - 2))
