@@ -176,7 +176,7 @@ def _hidden_sql(what):
 
 
 def _quality(spark, folder):
-    return check_quality(customer_dirty(spark, folder), as_of=DAY, typos=["segment"])
+    return check_quality(customer_dirty(spark, folder), as_of=DAY)
 
 
 def _issues(spark, folder):
@@ -206,7 +206,7 @@ def _outliers(spark, folder):
 
 
 def _check_task(spark, folder):
-    made = run_task("check_data", customer_dirty(spark, folder), options={"typos": False}, cleaning={"rules": RULES}, as_of=DAY)
+    made = run_task("check_data", customer_dirty(spark, folder), cleaning={"rules": RULES}, as_of=DAY)
     return made["Summary"]
 
 
@@ -227,7 +227,14 @@ UNION ALL SELECT 'Text -> number', 'balance', count(*), '''' || (SELECT printf('
 UNION ALL SELECT 'Removed identical duplicate rows', '(whole row)', count(*),
   'rows 3, 5, 7, 9, 11, 13, 15, 17, 19, 21, 23, 25, 27, 29, 31 ...', 'removed' FROM d"""
 
-_ISSUES = f"""WITH {_D}, x AS (SELECT quantile_cont(b, 0.25) AS q1, quantile_cont(b, 0.75) AS q3 FROM d),
+# names and segments that look like typos of each other: the same digits, at least four characters, similar by 88
+_TYPOS = f"""w AS (SELECT 'segment' AS c, lower(s) AS v, count(*) AS n FROM d WHERE k % 10 <> 0 GROUP BY 2
+    UNION ALL SELECT 'name', lower(name), count(*) FROM d GROUP BY 2),
+pairs AS (SELECT DISTINCT p.v AS x, q.v AS y FROM w p JOIN w q ON p.c = q.c AND p.v < q.v AND len(p.v) >= 4 AND len(q.v) >= 4
+    AND regexp_replace(p.v, '[^0-9]', '', 'g') = regexp_replace(q.v, '[^0-9]', '', 'g')), {LCS},
+typos AS (SELECT p.c, least(p.n, q.n) AS n FROM scored JOIN w p ON p.v = x JOIN w q ON q.v = y AND q.c = p.c WHERE score >= 88)"""
+
+_ISSUES = f"""WITH {_D}, {_TYPOS}, x AS (SELECT quantile_cont(b, 0.25) AS q1, quantile_cont(b, 0.75) AS q3 FROM d),
     i AS (SELECT 'segment' AS column_name, 'Fix' AS level, 'marker' AS code, count(*) FILTER (WHERE k % 10 = 0) AS cells FROM d
     UNION ALL SELECT 'segment', 'Check', 'empty', count(*) FILTER (WHERE k % 10 = 0) FROM d
     UNION ALL SELECT 'segment', 'Fix', 'spaces', count(*) FILTER (WHERE k % 10 = 3) FROM d
@@ -236,7 +243,8 @@ _ISSUES = f"""WITH {_D}, x AS (SELECT quantile_cont(b, 0.25) AS q1, quantile_con
     UNION ALL SELECT 'balance', 'Check', 'outlier', count(*) FILTER (WHERE b < q1 - 3 * (q3 - q1) OR b > q3 + 3 * (q3 - q1))
       FROM d, x
     UNION ALL SELECT 'balance', 'Check', 'negative', CASE WHEN count(*) FILTER (WHERE b < 0) <= greatest(1, 0.05 * count(*))
-      THEN count(*) FILTER (WHERE b < 0) ELSE 0 END FROM d)
+      THEN count(*) FILTER (WHERE b < 0) ELSE 0 END FROM d
+    UNION ALL SELECT c, 'Check', 'typos', CAST(sum(n) AS BIGINT) FROM typos GROUP BY 1)
     SELECT * FROM i WHERE cells > 0"""
 
 QUERIES = {
@@ -363,10 +371,10 @@ QUERIES = {
     "quality_outliers": (_outliers, """WITH t AS (SELECT round(sum(l_extendedprice) ** 3 / 1e9, 2) AS c FROM lineitem
         GROUP BY l_orderkey), x AS (SELECT quantile_cont(c, 0.25) AS q1, quantile_cont(c, 0.75) AS q3 FROM t)
         SELECT 'outlier' AS code, count(*) AS cells FROM t, x WHERE c < q1 - 3 * (q3 - q1) OR c > q3 + 3 * (q3 - q1)"""),
-    "check_task_summary": (_check_task, f"""WITH q AS ({_ISSUES})
+    "check_task_summary": (_check_task, f"""WITH q AS ({_ISSUES}), {_D}, {_TYPOS}
         SELECT 'Problems to fix' AS item, CAST(count(*) FILTER (WHERE level = 'Fix') AS VARCHAR) AS value FROM q
         UNION ALL SELECT 'Things to check', CAST(count(*) FILTER (WHERE level = 'Check') AS VARCHAR) FROM q
-        UNION ALL SELECT 'Possible typos (similar spellings)', '0'
+        UNION ALL SELECT 'Possible typos (similar spellings)', CAST(count(*) AS VARCHAR) FROM typos
         UNION ALL SELECT 'Cells cleaning would change', CAST(count(*) + count(*) FILTER (WHERE c_custkey % 10 < 4) AS VARCHAR) FROM customer
         UNION ALL SELECT 'Fix-level problems left after cleaning', '0'
         UNION ALL SELECT 'Data problems (rules / unreadable values)', CAST(count(*) FILTER (WHERE c_acctbal < 0)
