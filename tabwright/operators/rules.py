@@ -17,6 +17,7 @@ from ..functions.formula import formula
 from ..functions.numbers import is_finite, parse_number
 from ..functions.text import col, is_date, is_text, norm_text, strip, typed, value_text
 from .rows import ROW, file_row
+from .stable import stable
 
 PROBLEM_TYPE = "array<struct<column:string,value:string,problem:string>>"
 
@@ -89,13 +90,13 @@ def list_problems(df: DataFrame, problems: Column, table: str = "A") -> DataFram
 def repeated_values(df: DataFrame, name: str, table: str = "A") -> DataFrame:
     """All rows whose value, ignoring case and outer spaces, occurs more than once in the column.
 
-    Repeated values are found by a grouped count and met again by a semi join, which Spark can split
-    when one value is hot; no window over a value.
+    Repeated values are found by a grouped count, kept as a table of their own and met again by a semi join: Spark can
+    split the rows of a hot value, as no aggregate on the join key comes with them; no window over a value.
     """
     c, dtype = typed(df, name)
     rows = df.filter(c.isNotNull()).select(file_row(), value_text(c, dtype).alias("value"),
                                            norm_text(c, dtype, True).alias("_k"))
-    repeated = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k")
+    repeated = stable(rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k"))
     return rows.join(repeated, "_k", "left_semi").select(
         F.lit(table).alias("table"), "row_in_file", F.lit(name).alias("column"), "value",
         F.lit(C.PROBLEMS["unique"]).alias("problem"))
