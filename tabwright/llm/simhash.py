@@ -10,9 +10,9 @@ from ..operators.components import components
 from .common import name, saved, text_or_empty, unfold, whole_rows
 
 DISTANCE, SHINGLE, SEED = 3, 3, 42
-#: Of `keep_unlike`: words of a shingle, words of a run, segments of the runs' fingerprint, bits by which the shingles'
-#: fingerprints may differ (of 128), bits of the parities, and rounds that compare with one row of each slot, at most.
-SIMILAR_SHINGLE, RUN, SEGMENTS, RADIUS, PARITIES, ROUNDS = 5, 2, 8, 40, 1024, 8
+#: Of `keep_unlike`: words of a shingle, words of a run, segments of the runs' fingerprint, bits by which two of these
+#: fingerprints may differ (of 256), bits of the parities, and rounds that compare with two rows of each slot, at most.
+SIMILAR_SHINGLE, RUN, SEGMENTS, RADIUS, PARITIES, ROUNDS = 5, 2, 8, 80, 1024, 8
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
@@ -118,10 +118,10 @@ def sketches(text: Column, shingle: int = SIMILAR_SHINGLE, run: int = RUN, seed:
     """What `keep_unlike` needs of each text, in Arrow batches.
 
     ``fps`` is a fingerprint of 256 bits (four numbers) of the runs of ``run`` words, of which the segments are cut. Of the set
-    of shingles, hashed by XXH64, ``c`` and ``d`` are a fingerprint of 128 bits, ``n`` the size, ``digest`` a hash, and ``odd`` says for each
-    of 1,024 residues whether an odd number of hashes has it: two sets differ in at least as many shingles as their parities do in bits.
+    of shingles, hashed by XXH64, ``n`` is the size, ``digest`` a hash, and ``odd`` says for each of 1,024 residues whether an odd
+    number of hashes has it: two sets differ in at least as many shingles as their parities do in bits.
     """
-    @pandas_udf("fps array<bigint>, c bigint, d bigint, n int, odd array<bigint>, digest binary")
+    @pandas_udf("fps array<bigint>, n int, odd array<bigint>, digest binary")
     def of(texts):
         import numpy as np
         import pandas as pd
@@ -155,10 +155,9 @@ def sketches(text: Column, shingle: int = SIMILAR_SHINGLE, run: int = RUN, seed:
 
             fps = majority((widened(np.frombuffer(b, "<u8").reshape(-1, 2)) for b in hashed(run, xxh3_128_digest)), 256)
             held = np.unique(np.frombuffer(b"".join(hashed(shingle, xxh64_digest)), ">u8"))
-            c, d = majority((widened(held[at:at + 65536, None].astype("<u8")) for at in range(0, len(held), 65536)), 128)
             odd = np.bincount((held % PARITIES).astype(np.int64), minlength=PARITIES) & 1
-            made.append((fps, c, d, len(held), np.packbits(odd.astype(np.uint8)).view("<i8"), xxh3_128_digest(held.tobytes())))
-        return pd.DataFrame(made, columns=["fps", "c", "d", "n", "odd", "digest"])
+            made.append((fps, len(held), np.packbits(odd.astype(np.uint8)).view("<i8"), xxh3_128_digest(held.tobytes())))
+        return pd.DataFrame(made, columns=["fps", "n", "odd", "digest"])
     return of(text)
 
 
@@ -186,52 +185,73 @@ def similar(a: Column, b: Column, shingle: int = SIMILAR_SHINGLE) -> Column:
 
 
 #: What a row of a slot carries: its text and component, and what is compared inside the join.
-PARTS = ["p0", "p1", "p2", "p3"]
-CARRIED = ["at", "root", "n", "c", "d", *PARTS]
+WORDS, PARTS = ["f0", "f1", "f2", "f3"], ["p0", "p1", "p2", "p3"]
+CARRIED = ["at", "root", "n", *WORDS, *PARTS]
 
 
 def _entries(nodes: DataFrame, width: int) -> DataFrame:
     """A row per node and segment: ``base`` numbers the segment, ``value`` holds its ``width`` bits."""
-    segment = F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("k")
-    value = F.expr(f"shiftrightunsigned(fps[k div 2], 32 * (k % 2)) & {(1 << width) - 1}L")
-    return nodes.select(*CARRIED, "fps", segment).select(*CARRIED, value.alias("value"), F.expr(f"k * {1 << width}L").alias("base"))
+    segments = [F.struct(F.lit(k << width).alias("base"), _segment(F.col(WORDS[k // 2]), k, width).alias("value")) for k in range(SEGMENTS)]
+    return nodes.select(*CARRIED, F.explode(F.array(*segments)).alias("e")).select(*CARRIED, "e.base", "e.value")
 
 
-def _met(entries: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs of different components in one ``slot`` that are alike, of the carried columns and those of ``others``.
+def _segment(word: Column, k: int, width: int) -> Column:
+    return F.shiftrightunsigned(word, 32 * (k % 2)).bitwiseAND(F.lit((1 << width) - 1))
 
-    Alike are sizes of sets that allow 0.8, whole fingerprints within the radius, and parities of 256 residues that allow 0.8 (a
-    similarity of 0.8 leaves a ninth of both sizes together as difference)."""
+
+def _alike() -> Column:
+    """Whether a row of `CARRIED` and a `_renamed` one may be similar: sizes of sets that allow 0.8, whole fingerprints within the radius, and parities
+    of 256 residues that allow 0.8 (a similarity of 0.8 leaves a ninth of both sizes together as difference)."""
     def bits(names):
         return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
 
-    others = others.select(F.col("slot").alias("slot_b"), *[F.col(c).alias(f"{c}_b") for c in CARRIED])
-    alike = ((5 * F.least("n", "n_b") >= 4 * F.greatest("n", "n_b")) & (bits("cd") <= RADIUS)
-             & (9 * bits(PARTS) <= F.col("n") + F.col("n_b")))
-    met = entries.join(others.hint("merge"), (F.col("slot") == F.col("slot_b")) & (F.col("root") != F.col("root_b")) & alike)
-    return met.select(F.least("at", "at_b").alias("a"), F.greatest("at", "at_b").alias("b")).distinct()
+    return ((F.col("root") != F.col("root_b")) & (5 * F.least("n", "n_b") >= 4 * F.greatest("n", "n_b"))
+            & (9 * bits(PARTS) <= F.col("n") + F.col("n_b")) & (bits(WORDS) <= RADIUS))
+
+
+def _renamed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("slot").alias("slot_b"), *[F.col(c).alias(f"{c}_b") for c in CARRIED])
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.least("at", "at_b").alias("a"), F.greatest("at", "at_b").alias("b"))
+
 
+def _with_two(nodes: DataFrame, width: int, seed: int) -> DataFrame:
+    """Pairs of each node with two rows of each of its slots (equal segments), drawn anew by each seed: no more than
+    twice nodes times segments, however large a slot is.
 
-def _with_one(nodes: DataFrame, width: int, seed: int) -> DataFrame:
-    """Pairs of each node with one row of each of its slots (equal segments), drawn anew by each seed: no more than
-    nodes times segments, however large a slot is."""
+    One is drawn among the rows, so most likely of the slot's largest component, the other among the components."""
     entries = _entries(nodes, width).withColumn("slot", F.col("base") + F.col("value"))
-    drawn = F.struct(F.xxhash64(F.lit(seed), "at").alias("draw"), *CARRIED)
-    drawn = entries.groupBy("slot").agg(F.min(drawn).alias("one"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    by_row = F.struct(F.xxhash64(F.lit(seed), "at").alias("draw"), *CARRIED)
+    by_root = F.struct(F.xxhash64(F.lit(seed), "root").alias("draw"), *CARRIED)
+    drawn = entries.groupBy("slot").agg(F.min(by_row).alias("x"), F.max(by_root).alias("y"), F.min("root").alias("from"), F.max("root").alias("to"))
+    drawn = drawn.where("from < to").select("slot", F.explode(F.array_distinct(F.array(*[
+        F.struct(*[F.col(d)[c].alias(c) for c in CARRIED]) for d in "xy"]))).alias("one"))
     # a slot's draw is a table of its own, so that the join can split a large slot
-    return _met(entries, saved(drawn.select("slot", *[F.col("one")[c].alias(c) for c in CARRIED]), "near-drawn"))
+    drawn = saved(drawn.select("slot", "one.*"), "near-drawn")
+    return _ordered(entries.join(_renamed(drawn).hint("merge"), (F.col("slot") == F.col("slot_b")) & _alike())).distinct()
 
 
 def _rest(nodes: DataFrame, width: int) -> DataFrame:
-    """All pairs of different roots that agree in a segment up to one bit and are alike.
+    """All pairs of different roots that agree in a segment up to one bit and are alike, each of them once.
 
-    One side looks its segments up as they are, the other with one set bit cleared as well."""
+    One side looks its segments up as they are, the other with one set bit cleared as well. A pair leaves the join in the first
+    segment where it meets, however many it has."""
     entries = _entries(nodes, width)
     table = entries.select(*CARRIED, (F.col("base") + F.col("value")).alias("slot"))
     ball = F.expr(f"""concat(array(value), transform(filter(sequence(0, {width - 1}), i -> (shiftright(value, i) & 1L) = 1L),
         i -> value - shiftleft(1L, i)))""")
     probes = entries.select(*CARRIED, "base", F.explode(ball).alias("v")).select(*CARRIED, (F.col("base") + F.col("v")).alias("slot"))
-    return _met(probes, table)
+    first, own = F.lit(True), F.lit(0)
+    for k in range(SEGMENTS):
+        apart = F.bit_count(_segment(F.col(WORDS[k // 2]).bitwiseXOR(F.col(f"{WORDS[k // 2]}_b")), k, width))
+        here = F.shiftright("slot", width)
+        first = first & ((here <= k) | (apart > 1))
+        # of equal segments either side looks up the other
+        own = F.when(here == k, apart).otherwise(own)
+    first = first & ((own > 0) | (F.col("at") < F.col("at_b")))
+    return _ordered(probes.join(_renamed(table).hint("merge"), (F.col("slot") == F.col("slot_b")) & _alike() & first))
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
@@ -261,11 +281,12 @@ def keep_unlike(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     the columns of the frame: the one with the smallest key (rows without a key come last; of rows that share it, exactly one stays).
 
     Texts meet in slots: eight segments of a fingerprint over runs of two words, with their one-bit balls; segments have 16 bits, and one
-    more each time the texts beyond 2**18 double, so a slot holds about as many at any size. Pairs are verified inside the join by the
-    whole fingerprints of their shingles (40 of 128 bits) and parities of 256 residues, then by 1,024 parities, and confirmed by their whole sets, so no unlike text goes;
-    what no segment brings together stays. First, each slot compares all its texts with one of them, and what is confirmed is
-    joined, again with another draw while that confirms a pair for every hundred texts; then every pair of a slot is looked at that is not joined yet. A large group of
-    near copies so costs its size, not its square. Texts with equal sets meet in a grouped minimum before that. A-Z is
+    more each time the texts beyond 2**18 double, so a slot holds about as many at any size. Pairs are verified inside the join by
+    parities of 256 residues of their shingles and their whole fingerprints (80 of 256 bits), then by 1,024 parities, and confirmed by
+    their whole sets, so no unlike text goes; what no segment brings together stays. First, each slot compares all its texts with two of
+    them, and what is confirmed is joined, again with another draw while that confirms a pair for every hundred texts; then every pair of
+    a slot that is not joined yet is looked at, once however many slots it shares. Texts of a large group that are joined by then cost
+    the group's size, not its square; texts that lie around it and are not like it are compared with all its texts in their slots. Texts with equal sets meet in a grouped minimum before that. A-Z is
     lower-cased; a text of fewer than five words is one shingle; a null text is empty, and texts without words are alike. An empty
     table gives an empty table. Helper columns cannot clash with the frame's.
     """
@@ -274,16 +295,17 @@ def keep_unlike(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = saved(rows.select("row", "id", "at", "of.*"), "near-rows")
     member = F.struct(F.col("id").isNull().alias("null"), "id", "at")
     nodes = rows.groupBy("digest").agg(F.min(member).alias("first")).select("first", F.col("first.at").alias("first_at"))
-    nodes = nodes.join(rows.select("at", "fps", "c", "d", "n", "odd"), F.col("first_at") == F.col("at"))
+    nodes = nodes.join(rows.select("at", "fps", "n", "odd"), F.col("first_at") == F.col("at"))
     each = PARITIES // 64 // len(PARTS)
     folded = [F.aggregate(F.slice("odd", 1 + each * k, each), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseXOR(y)).alias(c)
               for k, c in enumerate(PARTS)]
-    nodes = saved(nodes.select("first", "at", "fps", "c", "d", "n", "odd", *folded, F.col("at").alias("root")), "near-nodes")
+    words = [F.col("fps")[k].alias(c) for k, c in enumerate(WORDS)]
+    nodes = saved(nodes.select("first", "at", *words, "n", "odd", *folded, F.col("at").alias("root")), "near-nodes")
     texts = nodes.count()
     width = min(32, max(16, texts.bit_length() - 2))
     found, rooted = [], nodes
     for seed in range(ROUNDS):
-        found.append(_confirmed(_with_one(rooted, width, seed), nodes, rows, text))
+        found.append(_confirmed(_with_two(rooted, width, seed), nodes, rows, text))
         rooted = saved(_rooted(nodes, found), "near-rooted")
         if 100 * found[-1].count() < texts:
             break
