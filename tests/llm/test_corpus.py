@@ -486,6 +486,11 @@ def test_near_dedup_of_a_large_group(spark, monkeypatch):
     groups = plain_groups(plain_similar(texts))
     assert {r["doc_id"] for r in kept.collect()} == texts.keys() - {b for _, b in groups}
     assert len(groups) > 250 and looked_at[0].count() < 600
+    # without any joining beforehand, the last join still has each pair once
+    monkeypatch.setattr(simhash, "ROUNDS", 0)
+    simhash.keep_unlike(spark.createDataFrame(list(texts.items()), "doc_id int, text string").repartition(4))
+    every = [(r["a"], r["b"]) for r in looked_at[1].collect()]
+    assert len(every) == len(set(every)) > 600 and all(a < b for a, b in every)
 
 
 def test_near_dedup_against_brute_force(spark):
