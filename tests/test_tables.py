@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright.operators import (check_formulas, check_quality, clean_table, compare_tables, evaluate_rules, pivot_table,
-                                 quantiles, with_row_number)
+                                 quantiles, similar_values, with_row_number)
 from tabwright.operators.running import running_count
 from tabwright.plans import report, run_task
 from tabwright.sources import append_run_log, load_table, load_tables, resolve_output, write_results
@@ -304,3 +304,11 @@ def test_headers_and_breaks_of_files(spark, tmp_path):
     assert [(r["a"], r["a.1"], r["b"], r["A.2"]) for r in made.orderBy("a").collect()] == [
         (1, 2, "x\ny", 4), (5, 6, "z", 8), (9, 10, '12" pipe', 12), (13, 14, 'q, "r"', 16)]
     assert header_names(["x", "", "x", "x.1"], ["_c0", "_c1", "_c2", "_c3"]) == ["x", "_c1", "x.1", "x.1.1"]
+
+
+def test_typo_search_broadcasts_nothing_that_grows(spark):
+    values = spark.createDataFrame([(0, f"customer number{c}", 1) for c in "abcdefgh"] + [(0, "lone 7", 1), (1, "lone 7", 1)],
+                                   "position int, value string, n bigint")
+    pairs = similar_values(values)
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 28 and not pairs.where("value = 'lone 7'").count()
