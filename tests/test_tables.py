@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabwright.operators import (check_formulas, check_quality, clean_table, compare_tables, evaluate_rules, pivot_table,
                                  quantiles, similar_values, with_row_number)
+from tabwright.operators.clean import spelling_corrections
 from tabwright.operators.running import running_count
 from tabwright.plans import report, run_task
 from tabwright.sources import append_run_log, load_table, load_tables, resolve_output, write_results
@@ -312,3 +313,10 @@ def test_typo_search_broadcasts_nothing_that_grows(spark):
     pairs = similar_values(values)
     assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert pairs.count() == 28 and not pairs.where("value = 'lone 7'").count()
+
+
+def test_spelling_corrections_broadcast_nothing_that_grows(spark):
+    values = spark.createDataFrame([(0, v, n) for v, n in (("Linden", 3), ("LINDEN", 1), ("Marsh", 1))], "position int, value string, n bigint")
+    fixes = spelling_corrections(values)
+    assert "BroadcastExchange" not in fixes._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in fixes.collect()] == [(0, "LINDEN", "Linden")]
