@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions.dates import parse_date, period_label, period_last_day, period_start, period_step
-from ..functions.numbers import parse_number
+from ..functions.numbers import exact_sum, parse_number
 from ..functions.text import col, typed, value_text
 from ..operators.clean import clean_table, cleaning_summary
 from ..operators.pivot import aggregate, label, pivot_table
@@ -191,7 +191,7 @@ def measure_totals(df: DataFrame, values: Sequence[str], decimal: str = ".") ->
     entries = []
     for v in values:
         c = col(v)
-        entries.append(F.struct(F.lit(v).alias("column"), F.bround(F.coalesce(F.sum(c), F.lit(0.0)), 2).alias("total"),
+        entries.append(F.struct(F.lit(v).alias("column"), F.bround(F.coalesce(exact_sum(c), F.lit(0.0)), 2).alias("total"),
                                 F.bround(F.avg(c), 2).alias("average"), F.min(c).alias("smallest"),
                                 F.max(c).alias("largest")))
     return data.agg(F.array(*entries).alias("m")).select(F.inline("m"))

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from tabwright.operators import (check_formulas, check_quality, clean_table, compare_tables, evaluate_rules, pivot_table,
                                  quantiles, similar_values, with_row_number)
+from tabwright.functions.numbers import exact_sum
 from tabwright.operators.clean import spelling_corrections
+from tabwright.operators.quality import _examples
 from tabwright.operators.running import running_count
 from tabwright.plans import report, run_task
+from tabwright.plans.report import measure_totals
 from tabwright.sources import append_run_log, load_table, load_tables, resolve_output, write_results
 
 # loans of an instrument shop, with a fault of every kind
@@ -320,3 +323,27 @@ def test_spelling_corrections_broadcast_nothing_that_grows(spark):
     fixes = spelling_corrections(values)
     assert "BroadcastExchange" not in fixes._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in fixes.collect()] == [(0, "LINDEN", "Linden")]
+
+
+def test_sums_keep_their_cents(spark):
+    rows = spark.range(200000).select(F.lit(2251403.61).alias("x"), F.lit(0.1).alias("y"))
+    made = {r.column: r.total for r in measure_totals(rows.coalesce(1), ["x", "y"]).collect()}
+    assert made == {"x": 450280722000.0, "y": 20000.0}
+    assert rows.coalesce(1).agg(exact_sum(F.col("y"))).first()[0] == 20000.0
+    odd = spark.createDataFrame([(1e300, -0.25, None), (-2.0, 0.5, None), (None, -3.0, None)], "a double, b double, c double")
+    assert tuple(odd.agg(*[exact_sum(F.col(c)) for c in "abc"]).first()) == (1e300, -2.75, None)
+    assert odd.unionAll(odd.limit(0)).agg(exact_sum(F.lit(float("inf")))).first()[0] == float("inf")
+
+
+def test_flags_are_worked_out_once(spark):
+    flagged = spark.range(1000, numPartitions=1).select(F.lit(0).alias("position"), F.lit(1).alias("n"), F.lit("f").alias("flag"),
+                                                        (F.col("id") % 5).cast("string").alias("shown"), F.col("id").cast("double").alias("rank"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def met(x):
+        seen.add(1)
+        return x
+
+    found = _examples(flagged.withColumn("shown", met.asNondeterministic()("shown")))
+    assert [tuple(r) for r in found.collect()] == [(0, "f", 1000, 5, "0 | 1 | 2")] and seen.value == 1000
