@@ -13,6 +13,8 @@ DISTANCE, SHINGLE, SEED = 3, 3, 42
 #: Of `keep_unlike`: words of a shingle, words of a run, segments of the runs' fingerprint, bits by which two of these
 #: fingerprints may differ (of 256), bits of the parities, and rounds that compare with two rows of each slot, at most.
 SIMILAR_SHINGLE, RUN, SEGMENTS, RADIUS, PARITIES, ROUNDS = 5, 2, 8, 80, 1024, 8
+#: Bits of a segment. It decides which texts meet, so it is the same for every corpus.
+WIDTH = 16
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
@@ -280,8 +282,8 @@ def keep_unlike(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """One row of each group of texts that are linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, with
     the columns of the frame: the one with the smallest key (rows without a key come last; of rows that share it, exactly one stays).
 
-    Texts meet in slots: eight segments of a fingerprint over runs of two words, with their one-bit balls; segments have 16 bits, and one
-    more each time the texts beyond 2**18 double, so a slot holds about as many at any size. Pairs are verified inside the join by
+    Texts meet in slots: eight segments of 16 bits of a fingerprint over runs of two words, with their one-bit balls, so which texts meet
+    does not depend on the others; a slot holds more of them in a larger corpus. Pairs are verified inside the join by
     parities of 256 residues of their shingles and their whole fingerprints (80 of 256 bits), then by 1,024 parities, and confirmed by
     their whole sets, so no unlike text goes; what no segment brings together stays. First, each slot compares all its texts with two of
     them, and what is confirmed is joined, again with another draw while that confirms a pair for every hundred texts; then every pair of
@@ -302,13 +304,12 @@ def keep_unlike(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     words = [F.col("fps")[k].alias(c) for k, c in enumerate(WORDS)]
     nodes = saved(nodes.select("first", "at", *words, "n", "odd", *folded, F.col("at").alias("root")), "near-nodes")
     texts = nodes.count()
-    width = min(32, max(16, texts.bit_length() - 2))
     found, rooted = [], nodes
     for seed in range(ROUNDS):
-        found.append(_confirmed(_with_two(rooted, width, seed), nodes, rows, text))
+        found.append(_confirmed(_with_two(rooted, WIDTH, seed), nodes, rows, text))
         rooted = saved(_rooted(nodes, found), "near-rooted")
         if 100 * found[-1].count() < texts:
             break
-    found.append(_confirmed(_rest(rooted, width), nodes, rows, text))
+    found.append(_confirmed(_rest(rooted, WIDTH), nodes, rows, text))
     least = _rooted(nodes, found).groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.at").alias("a"))
     return unfold(rows.join(least, F.col("at") == F.col("a"), "left_semi"), "row", df.columns, [], [])

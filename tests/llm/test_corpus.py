@@ -644,3 +644,16 @@ def test_pipeline_on_odd_and_no_documents(spark, odd, empty):
 def queries_folder(spark):
     from tabwright.llm.common import new_path
     return new_path(spark, "test")
+
+
+def test_near_copies_meet_alike_in_any_corpus(spark, monkeypatch):
+    widths, entries = set(), simhash._entries
+    monkeypatch.setattr(simhash, "_entries", lambda nodes, width: widths.add(width) or entries(nodes, width))
+    monkeypatch.setattr(simhash, "ROUNDS", 1)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[:-1])), (2, "another text")], "doc_id int, text string")
+    sizes, count = [], type(docs).count
+    for texts in (3, 1 << 22):           # what the corpus says its size is
+        monkeypatch.setattr(type(docs), "count", lambda df, n=texts: n if count(df) == 3 else count(df))
+        sizes.append(sorted(r.doc_id for r in simhash.keep_unlike(docs).collect()))
+    assert sizes[0] == sizes[1] == [0, 2] and len(widths) == 1
