@@ -68,6 +68,14 @@ def test_norm_text(spark):
                "timestamp_ntz") == ["2026-03-01", "2026-03-01 05:00:00"]
 
 
+def test_norm_text_of_negative_zero_equals_sql(spark):
+    import duckdb
+    values = [-0.0, 0.0, -3.0, -0.01]
+    sql = [duckdb.execute("SELECT regexp_replace(CAST(?::DOUBLE AS VARCHAR), '\\.0$', '')", [v]).fetchone()[0] for v in values]
+    assert one(spark, values, lambda c: norm_text(c, T.DoubleType()), "double") == sql == ["-0", "0", "-3", "-0.01"]
+    assert one(spark, ["-0.0"], lambda c: norm_text(c, TEXT)) == ["-0"]
+
+
 def test_text_cleaning(spark):
     assert one(spark, ["  a​  b c ", "x‌y"], tidy_spaces) == ["a b c", "x‌y"]
     assert one(spark, ["o'neil smith-JONES", "ÉCOLE d'été"], lambda c: letter_case(c, "title")) == ["O'Neil Smith-Jones", "École D'Été"]
