@@ -57,6 +57,24 @@ def test_candidates_lose_nothing(spark, method, threshold):
     assert got == expected
 
 
+def test_word_sets_score_little_that_does_not_match(spark, monkeypatch):
+    """Only pairs whose words stand in each other are scored, not all that share a few letter pairs."""
+    from tabwright.operators import candidates
+    left = [f"brand {b} {n} {k}" for b in range(20) for n in ("large ring", "small bolt", "blue plate") for k in ("economy", "promo")]
+    right = [f"{n} brand {b}" for b in range(20) for n in ("large ring", "small bolt", "blue plate")]
+    expected = sum(score_pair(a, b, "token_set") >= 95 for a in left for b in right)
+    made = [spark.createDataFrame([(i, "", t) for i, t in enumerate(x)], "id bigint, block string, text string") for x in (left, right)]
+    monkeypatch.setattr(candidates, "similarity", lambda *args: F.lit(100))      # every pair that would be scored
+    assert expected == 120 <= similar_texts(*made, 95, "token_set").count() <= 240
+
+
+def test_fuzzy_texts_are_worked_out_once(spark):
+    a, b = [spark.createDataFrame([(0, "Blue River Co."), (1, "Apex")], f"_row bigint, {c} string") for c in ("x", "y")]
+    made = fuzzy_compare(a, b, ["x"], ["y"])
+    for members in (made.members_a, made.members_b):
+        assert "regexp" not in members._jdf.queryExecution().toString().lower()
+
+
 def greedy(edges, a, b):
     """Row pairs by (score descending, row of A, row of B)."""
     pairs = sorted((-s, i, j) for (u, v), s in edges.items() for i in a[u] for j in b[v])
