@@ -69,6 +69,21 @@ def test_unread_values_are_listed(spark):
     assert notes["Text -> number"].startswith("1 value(s)")
 
 
+def test_cleaned_rows_do_not_wait_for_the_log(spark, monkeypatch):
+    """Without "auto" no column is judged by its looks, and the log is made when it is asked for."""
+    from tabwright.operators import clean
+    made = []
+    monkeypatch.setattr(clean, "column_facts", lambda *a: pytest.fail("columns were judged"))
+    monkeypatch.setattr(clean, "_duplicate_log", lambda *a, keep=clean._duplicate_log: made.append(1) or keep(*a))
+    df = spark.createDataFrame([(0, "1,000", "2026-01-02", "ab"), (1, "2", "2026-01-02", "AB"), (2, "2", "2026-01-02", "ab")],
+                               "_row bigint, n string, d string, t string")
+    r = clean_table(df, {"to_number": ["n"], "to_date": ["d"]})
+    assert [(x._row, x.n, str(x.d), x.t) for x in r.data.orderBy("_row").collect()] == [
+        (0, 1000, "2026-01-02 00:00:00", "ab"), (1, 2, "2026-01-02 00:00:00", "ab")]
+    assert r.data.schema["n"].dataType.simpleString() == "bigint" and not made
+    assert {x.step: x.cells_changed for x in r.log.collect()}["Unified spelling variants (case/spaces)"] == 1 and made
+
+
 def test_cleaning_settings_are_checked(demo):
     for bad in ({"to_number": "yes"}, {"decimal": ";"}, {"fix_case": {"Town": "loud"}}, {"fix_case": {"City": "upper"}},
                 {"merge": {"key": []}}, {"merge": {"key": ["Town"], "how": {"Fee": "product"}}},
